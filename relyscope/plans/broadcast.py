@@ -1,0 +1,36 @@
+"""Size-checked broadcast.
+
+A side is broadcast only after a bounded check proves it small: ``limit(n+1)``
+stops reading as soon as ``n+1`` rows are seen, so the check costs at most
+``n+1`` rows however large the frame is. Beyond the bound the plan falls back
+to a shuffle join on the key (sort-merge, AQE may still re-plan it).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default row bound for a broadcast side (short keys plus a timestamp: well
+# under 64 MB at this many rows). Callers can pass their own.
+DEFAULT_MAX_ROWS = 500_000
+CONF_KEY = "relyscope.broadcast.maxRows"
+
+
+def max_rows(df: DataFrame, override: int | None = None) -> int:
+    if override is not None:
+        return int(override)
+    return int(df.sparkSession.conf.get(CONF_KEY, str(DEFAULT_MAX_ROWS)))
+
+
+def is_small(df: DataFrame, limit_rows: int) -> bool:
+    """True when ``df`` has at most ``limit_rows`` rows (bounded cost check)."""
+    return df.limit(limit_rows + 1).count() <= limit_rows
+
+
+def maybe_broadcast(df: DataFrame, limit_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Return ``(broadcast(df), True)`` if proven small, else ``(df, False)``."""
+    n = max_rows(df, limit_rows)
+    if n > 0 and is_small(df, n):
+        return F.broadcast(df), True
+    return df, False
