@@ -12,10 +12,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from .functions.derived import incident_status
+from .functions.impact import OUTPUTS, with_business_impact
+from .functions.text import clean_text, ws_strip
+from .operators import detail as D
 from .operators import incidents as I
+from .operators import insights as N
 from .operators import metrics as M
+from .operators import paging as P
+from .operators import resolve as R
 from .sources.fixtures import (
     INCIDENTS_AS_OF, METRICS_AS_OF, load_incidents, load_lookup_ids, load_metrics,
+    resolutions_from_incidents,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +58,50 @@ def _incident_lookup(spark, sf_dir):
     return I.incident_lookup(load_incidents(spark, sf_dir), load_lookup_ids(spark, sf_dir))
 
 
+def _over_inc(view) -> Query:
+    return lambda spark, sf_dir: view(load_incidents(spark, sf_dir))
+
+
+def _over_met(view) -> Query:
+    return lambda spark, sf_dir: view(load_metrics(spark, sf_dir))
+
+
+def _then(query: Query, view, **kw) -> Query:
+    return lambda spark, sf_dir: view(query(spark, sf_dir), **kw)
+
+
+def _resolve(spark, sf_dir):
+    inc = load_incidents(spark, sf_dir)
+    return R.resolve_incidents(inc, resolutions_from_incidents(inc))
+
+
+def _resolve_unmatched(spark, sf_dir):
+    return R.unmatched_resolutions(load_incidents(spark, sf_dir), load_lookup_ids(spark, sf_dir))
+
+
+def _status_view(inc):
+    return inc.select("incident_id", incident_status().alias("status"))
+
+
+def _clean_view(inc):
+    return inc.select("incident_id", clean_text("root_cause").alias("root_cause_text"),
+                      clean_text("suggested_fix").alias("suggested_fix_text"))
+
+
+def _impact_view(inc):
+    # The reference's own call: the lower-cased impact text is the level.
+    b = F.col("business_impact")
+    staged = with_business_impact(inc, ws_strip(F.lower(b)), b, F.col("suggested_fix"),
+                                  F.col("root_cause"))
+    return staged.select("incident_id", *OUTPUTS)
+
+
+def _reliability(spark, sf_dir):
+    return N.reliability_summary(load_incidents(spark, sf_dir), load_metrics(spark, sf_dir),
+                                 as_of=INCIDENTS_AS_OF, days=INC_DAYS,
+                                 metrics_as_of=METRICS_AS_OF)
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {
         # incidents
@@ -83,4 +137,28 @@ def build() -> dict[str, Query]:
         "metrics_by_severity": _met(M.metrics_by_severity, days=MET_DAYS),
         "metrics_by_workspace": _met(M.metrics_by_workspace, days=MET_DAYS),
     }
+    q.update({
+        "incident_resolve": _resolve,
+        "incident_resolve_unmatched": _resolve_unmatched,
+        # derived values over whole tables
+        "incident_status": _over_inc(_status_view),
+        "clean_text": _over_inc(_clean_view),
+        "business_impact": _over_inc(_impact_view),
+        "incident_display": _over_inc(D.incident_display),
+        "incident_detail": _over_inc(D.incident_detail),
+        "incident_timeline": _over_inc(D.incident_timeline),
+        "metric_display": _over_met(D.metric_display),
+        "metric_detail": _over_met(D.metric_detail),
+        "metric_timeline": _over_met(D.metric_timeline),
+        "page_summary": _then(q["incident_count"], P.page_summary, page_size=20, page=3),
+        "metric_page_summary": _then(q["metric_count"], P.page_summary, page_size=50, page=1000),
+        "category_share": _then(q["failures_by_category"], N.category_share),
+        "metric_category_share": _then(q["metrics_by_category"], N.metric_category_share),
+        "severity_share": _then(q["metrics_by_severity"], N.severity_share),
+        "team_mttr_share": _then(q["mttr_by_team"], N.team_mttr_share),
+        "daily_trend": _then(q["failures_daily"], N.daily_trend),
+        "workspace_health": _then(q["workspace_rollup"], N.workspace_health),
+        "workspace_health_summary": _then(q["workspace_rollup"], N.workspace_health_summary),
+        "reliability_summary": _reliability,
+    })
     return q
