@@ -5,10 +5,9 @@ to the first ``{...}`` fragment), fields are picked with ``try_variant_get``,
 and the reference's Python truthiness is reproduced on the JSON text of each
 field. All of it is column expressions; nothing leaves the JVM.
 
-Known, recorded deviations: ``{"a":1} tail`` parses directly (Python takes
-the fragment; differs only for nested objects followed by text); duplicate
-keys make the object unparsed; non-string field values print as JSON text
-(``true``), not Python text (``True``).
+Known, recorded deviations: duplicate keys make the object unparsed (Python
+keeps the last); non-string field values print as JSON text (``true``), not
+Python text (``True``).
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import DASH, clean_text, ws_strip
+from .text import DASH, with_clean_texts, ws_strip
 
 # JSON texts of falsy field values.
 FALSY_JSON = ("false", "null", '""', "[]", "{}")
@@ -53,14 +52,31 @@ def _lit_map(d: dict) -> Column:
 
 
 def parse_impact(impact: Column) -> Column:
-    """VARIANT of a non-empty JSON object in the impact text, else null."""
-    raw = ws_strip(F.coalesce(impact, F.lit("")))
+    """Field map (``map<string,variant>``) of a non-empty JSON object in the
+    impact text, else null. Single-expression form of the staged parse in
+    :func:`with_business_impact`.
+    """
+    m = _object_map(_parse_raw(ws_strip(F.coalesce(impact, F.lit("")))))
+    return F.when(F.size(m) > 0, m)
+
+
+def _parse_raw(raw: Column) -> Column:
+    """Python's ``json.loads(raw)``, else the first ``{...}`` fragment.
+
+    Only texts that can hold an object are parsed: the whole text when it
+    starts with ``{`` and ends with ``}`` (a stripped object always does),
+    the fragment when the text has a ``}`` at all. Rows that cannot parse
+    never reach the parser, so no per-row parse errors are raised.
+    """
     frag = F.regexp_extract(raw, r"\{[^}]+\}", 0)
-    v = F.coalesce(F.try_parse_json(raw),
-                   F.when(frag != F.lit(""), F.try_parse_json(frag)))
-    j = F.to_json(v)
-    ok = raw.startswith("{") & j.startswith("{") & (j != F.lit("{}"))
-    return F.when(ok, v)
+    whole = F.when(raw.endswith("}"), F.try_parse_json(raw))
+    return F.when(raw.startswith("{") & (F.instr(raw, "}") > 0), F.coalesce(
+        whole, F.when(frag != F.lit(""), F.try_parse_json(frag))))
+
+
+def _object_map(v: Column) -> Column:
+    # One pass over the object: top-level fields as a map of variants.
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
 def _h(name: str) -> Column:
@@ -69,8 +85,9 @@ def _h(name: str) -> Column:
 
 def _truthy(i: int) -> Column:
     j = _h(f"j{i}")
-    zero = F.coalesce(j.try_cast("double") == F.lit(0.0), F.lit(False))
-    return j.isNotNull() & ~j.isin(*FALSY_JSON) & ~zero
+    # Only number texts can be zero; casting just those raises no parse errors.
+    zero = F.when(F.substring(j, 1, 1).isin("-", "0"), j.try_cast("double") == F.lit(0.0))
+    return j.isNotNull() & ~j.isin(*FALSY_JSON) & ~F.coalesce(zero, F.lit(False))
 
 
 def _first_truthy(keys) -> Column:
@@ -80,28 +97,43 @@ def _first_truthy(keys) -> Column:
 
 
 def with_business_impact(df: DataFrame, level: Column, impact: Column, fix: Column,
-                         cause: Column) -> DataFrame:
+                         cause: Column, cleaned: bool = False) -> DataFrame:
     """Add ``impact_level, sla_at_risk, impact_severity, impact_desc`` to ``df``.
 
-    Staged as successive projections (parse once, pick each field once, then
-    decide) so the generated code stays small; Catalyst keeps the stages apart
-    because merging them would repeat the parse.
+    ``fix`` and ``cause`` are raw texts, or already ``clean_text``-ed ones when
+    ``cleaned=True`` (views that show the cleaned texts anyway pass those, so
+    each text is cleaned once).
+
+    Staged as successive projections (inputs, parse into a field map, field
+    texts, decisions) so each step is computed once per row and the generated code
+    stays small; Catalyst keeps the stages apart because merging them would
+    repeat non-trivial expressions.
     """
     keep = [F.col(c) for c in df.columns]
-    s1 = df.select(
-        *keep,
-        F.when(level.isNull() | (level == F.lit("")), F.lit("medium"))
-         .otherwise(ws_strip(F.lower(level))).alias(_P + "lvl0"),
-        ws_strip(F.coalesce(impact, F.lit(""))).alias(_P + "raw"),
-        clean_text(fix).alias(_P + "fc"), clean_text(cause).alias(_P + "cc"),
-        parse_impact(impact).alias(_P + "v"))
-    v = _h("v")
+    ins = df.select(*keep, level.alias(_P + "lvl_in"), impact.alias(_P + "imp_in"),
+                    fix.alias(_P + "fix_in"), cause.alias(_P + "cause_in"))
+    if cleaned:
+        s0 = ins.select("*", _h("fix_in").alias(_P + "fc"), _h("cause_in").alias(_P + "cc"))
+    else:
+        s0 = with_clean_texts(ins, {_P + "fc": _P + "fix_in", _P + "cc": _P + "cause_in"})
+    lvl_in = _h("lvl_in")
+    s1 = s0.select(
+        *keep, _h("fc"), _h("cc"),
+        F.when(lvl_in.isNull() | (lvl_in == F.lit("")), F.lit("medium"))
+         .otherwise(ws_strip(F.lower(lvl_in))).alias(_P + "lvl0"),
+        ws_strip(F.coalesce(_h("imp_in"), F.lit(""))).alias(_P + "raw"))
+    s2 = s1.select("*", _object_map(_parse_raw(_h("raw"))).alias(_P + "m0"))
+    m0 = _h("m0")
+    s3 = s2.select(*keep, _h("fc"), _h("cc"), _h("lvl0"), _h("raw"),
+                   F.when(F.size(m0) > 0, m0).alias(_P + "m"))
+    m = _h("m")
     fields = []
     for i, k in enumerate(ALL_KEYS):
-        fields.append(F.to_json(F.try_variant_get(v, f"$.{k}", "variant")).alias(f"{_P}j{i}"))
-        fields.append(F.try_variant_get(v, f"$.{k}", "string").alias(f"{_P}t{i}"))
-    s2 = s1.select("*", v.isNotNull().alias(_P + "parsed"), *fields)
-    s3 = s2.select(
+        fields.append(F.to_json(m[k]).alias(f"{_P}j{i}"))
+        fields.append(m[k].cast("string").alias(f"{_P}t{i}"))
+    s4 = s3.select("*", m.isNotNull().alias(_P + "parsed"))
+    s5 = s4.select("*", *fields)
+    s6 = s5.select(
         *keep, _h("lvl0"), _h("raw"), _h("fc"), _h("cc"), _h("parsed"),
         F.coalesce(_truthy(ALL_KEYS.index(SLA_KEYS[0])) | _truthy(ALL_KEYS.index(SLA_KEYS[1])),
                    F.lit(False)).alias(_P + "sla"),
@@ -132,7 +164,7 @@ def with_business_impact(df: DataFrame, level: Column, impact: Column, fix: Colu
                   .when((fc != F.lit(DASH)) & (F.length(fc) > 20), fc)
                   .when((cc != F.lit(DASH)) & (F.length(cc) > 15), cc)
                   .otherwise(F.coalesce(_lit_map(LEVEL_SENTENCE)[lvl0], F.lit(DEFAULT_SENTENCE))))
-    return s3.select(
+    return s6.select(
         *keep,
         F.when(parsed, lvl).otherwise(lvl0).alias("impact_level"),
         (parsed & sla).alias("sla_at_risk"),

@@ -6,7 +6,7 @@ whole-stage codegen on every row with no Python in the loop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The whitespace set of Python's ``str.split()``/``strip()``
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # is valid in Java regex and RE2.
 WS = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
       r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# The same set as plain characters, for ``btrim`` / ``translate`` (no regex).
+WS_CHARS = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 # Texts that count as missing, and the dash shown for them.
 MISSING_TEXTS = ("", "None", "nan", "NaT", "<NA>")
@@ -21,26 +24,61 @@ DASH = "—"
 
 
 def ws_strip(c: Column) -> Column:
-    """Strip Python whitespace at both ends."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    """Strip Python whitespace at both ends (character-set trim, no regex)."""
+    return F.btrim(c, F.lit(WS_CHARS))
+
+
+def _brace_rules(t: Column) -> Column:
+    # Steps 2-4: leading object, trailing object, short interior objects.
+    s = F.regexp_replace(t, rf"\A\{{[^}}]*\}}{WS}*", "")
+    s = F.regexp_replace(s, rf"{WS}*\{{[^}}]*\}}\z", "")
+    return F.regexp_replace(s, r"\{[^}]{0,200}\}", "")
+
+
+def _words(s: Column) -> Column:
+    # Steps 5-6: drop stars (literal replace), whitespace runs -> word list.
+    spaced = F.translate(F.replace(s, F.lit("*"), F.lit("")), WS_CHARS.replace(" ", ""),
+                         " " * (len(WS_CHARS) - 1))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def with_clean_texts(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
+    """D3 for several columns at once: ``{output name: input column}``.
+
+    Staged as three projections so every intermediate is computed once per
+    row (a single expression would repeat subtrees: Catalyst does not share
+    work across ``CASE`` branches). The brace regexes run only on texts that
+    contain ``{``; everything else is character-level (trim, replace,
+    translate, split).
+    """
+    ins = [F.col(c) if isinstance(c, str) else c for c in outputs.values()]
+    keep = [F.col(c) for c in df.columns]
+    t = [f"__ct{i}_t" for i in range(len(ins))]
+    w = [f"__ct{i}_w" for i in range(len(ins))]
+    m = [f"__ct{i}_m" for i in range(len(ins))]
+    s1 = df.select(*keep, *[ws_strip(c).alias(n) for c, n in zip(ins, t)])
+    s2 = s1.select(
+        *keep,
+        *[(F.col(n).isNull() | F.col(n).isin(*MISSING_TEXTS)).alias(mn) for n, mn in zip(t, m)],
+        *[_words(F.when(F.instr(F.col(n), "{") > 0, _brace_rules(F.col(n)))
+                 .otherwise(F.col(n))).alias(wn) for n, wn in zip(t, w)])
+    outs = [F.when(F.col(mn) | (F.size(F.col(wn)) == 0), F.lit(DASH))
+            .otherwise(F.array_join(F.col(wn), " ")).alias(name)
+            for name, mn, wn in zip(outputs, m, w)]
+    return s2.select(*keep, *outs)
 
 
 def clean_text(c: Column | str) -> Column:
-    """D3: strip, drop JSON-ish brace blocks and stars, collapse whitespace.
+    """D3 as a single column expression (see :func:`with_clean_texts`).
 
-    Null, blank or a missing-marker text gives an em dash, as does a text that
-    is empty after cleaning.
+    Same result; convenient for one-off use. Views that clean whole tables
+    use the staged form, which evaluates each step once.
     """
     c = F.col(c) if isinstance(c, str) else c
     t = ws_strip(c)
-    s = F.regexp_replace(t, rf"\A\{{[^}}]*\}}{WS}*", "")
-    s = F.regexp_replace(s, rf"{WS}*\{{[^}}]*\}}\z", "")
-    s = F.regexp_replace(s, r"\{[^}]{0,200}\}", "")
-    s = F.regexp_replace(s, r"\*+", "")
-    s = F.trim(F.regexp_replace(s, rf"{WS}+", " "))
-    return (F.when(c.isNull() | t.isin(*MISSING_TEXTS), F.lit(DASH))
-            .when(s == F.lit(""), F.lit(DASH))
-            .otherwise(s))
+    joined = F.array_join(_words(F.when(F.instr(t, "{") > 0, _brace_rules(t)).otherwise(t)), " ")
+    return (F.when(t.isNull() | t.isin(*MISSING_TEXTS), F.lit(DASH))
+            .otherwise(F.regexp_replace(joined, r"\A\z", DASH)))
 
 
 def label(c: Column | str) -> Column:

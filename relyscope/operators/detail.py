@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.derived import auto_flag, confidence_pct, incident_status, mttr_text
 from ..functions.impact import SEVERITY_LEVEL, with_business_impact
-from ..functions.text import DASH, clean_text, minute_text, ws_strip
+from ..functions.text import DASH, minute_text, with_clean_texts, ws_strip
+from ..plans.parallelism import spread
 
 # List-row cut of the cleaned root cause, and row actions.
 CAUSE_CUT = 55
@@ -66,12 +67,13 @@ def _text(c: str) -> Column:
 
 def incident_display(incidents: DataFrame) -> DataFrame:
     """List rows (pipeline, status, short cause, detected, action)."""
+    incidents = spread(incidents, "incident_id")
     resolved = F.col("resolved_at").isNotNull()
-    return incidents.select(
+    return with_clean_texts(incidents, {"_cause": "root_cause"}).select(
         "incident_id",
         _text("job_name").alias("job_name"),
         incident_status().alias("status"),
-        F.substring(clean_text("root_cause"), 1, CAUSE_CUT).alias("cause_short"),
+        F.substring("_cause", 1, CAUSE_CUT).alias("cause_short"),
         minute_text("detected_at").alias("detected"),
         F.when(resolved, F.lit(ACTION_VIEW)).otherwise(F.lit(ACTION_INVESTIGATE)).alias("action"),
     )
@@ -86,9 +88,12 @@ def _incident_level_in(impact: Column) -> Column:
 
 def incident_detail(incidents: DataFrame) -> DataFrame:
     """One wide row per incident with every derived field of the detail page."""
+    incidents = spread(incidents, "incident_id")
     b = F.col("business_impact")
-    staged = with_business_impact(incidents, _incident_level_in(b), b,
-                                  F.col("suggested_fix"), F.col("root_cause"))
+    texts = with_clean_texts(incidents, {"root_cause_text": "root_cause",
+                                         "suggested_fix_text": "suggested_fix"})
+    staged = with_business_impact(texts, _incident_level_in(b), b, F.col("suggested_fix_text"),
+                                  F.col("root_cause_text"), cleaned=True)
     return staged.select(
         "incident_id", _text("job_name").alias("job_name"),
         _text("workspace_id").alias("workspace_id"), _text("team_name").alias("team_name"),
@@ -100,8 +105,7 @@ def incident_detail(incidents: DataFrame) -> DataFrame:
         minute_text("detected_at").alias("detected"),
         minute_text("created_at").alias("created"),
         minute_text("resolved_at").alias("resolved"),
-        clean_text("root_cause").alias("root_cause_text"),
-        clean_text("suggested_fix").alias("suggested_fix_text"),
+        "root_cause_text", "suggested_fix_text",
         F.when(F.col("impact_level").isin(*LEVELS), F.col("impact_level"))
          .otherwise(F.lit("medium")).alias("impact_level"),
         "sla_at_risk", "impact_severity", "impact_desc",
@@ -127,6 +131,7 @@ def _cause_steps_map() -> Column:
 
 def incident_timeline(incidents: DataFrame) -> DataFrame:
     """Ordered events per incident ``(incident_id, seq, tone, event_time, time_text, event)``."""
+    incidents = spread(incidents, "incident_id")
     ts_type = incidents.schema["detected_at"].dataType
     det = F.col("detected_at")
     created, resolved_at = F.col("created_at").cast(ts_type), F.col("resolved_at").cast(ts_type)
@@ -158,6 +163,7 @@ def _value_text() -> Column:
 
 def metric_display(metrics: DataFrame) -> DataFrame:
     """List rows (metric, category, severity, value with unit, workspace, time)."""
+    metrics = spread(metrics, "insight_id")
     v = _value_text()
     return metrics.select(
         "insight_id", _text("metric_name").alias("metric_name"),
@@ -176,9 +182,11 @@ def _severity_level() -> Column:
 
 def metric_detail(metrics: DataFrame) -> DataFrame:
     """One wide row per anomaly with the detail page's derived fields."""
+    metrics = spread(metrics, "insight_id")
     level = _severity_level()
-    staged = with_business_impact(metrics, level, F.col("business_impact"),
-                                  F.col("suggested_fix"), F.lit(""))
+    texts = with_clean_texts(metrics, {"suggested_fix_text": "suggested_fix"})
+    staged = with_business_impact(texts, level, F.col("business_impact"),
+                                  F.col("suggested_fix_text"), F.lit(DASH), cleaned=True)
     unit = F.coalesce(F.col("metric_unit"), F.lit(""))
     return staged.select(
         "insight_id", _text("metric_name").alias("metric_name"),
@@ -190,7 +198,7 @@ def metric_detail(metrics: DataFrame) -> DataFrame:
         _up("cause_category").alias("cause_category"),
         _text("workspace_id").alias("workspace_id"), _text("cluster_name").alias("cluster_name"),
         confidence_pct().alias("confidence_pct"),
-        clean_text("suggested_fix").alias("suggested_fix_text"),
+        "suggested_fix_text",
         minute_text("timestamp").alias("detected"),
         "sla_at_risk", "impact_severity",
         F.when(F.col("impact_desc") == F.lit(DASH), F.lit(METRIC_REVIEW))
@@ -200,6 +208,7 @@ def metric_detail(metrics: DataFrame) -> DataFrame:
 
 def metric_timeline(metrics: DataFrame) -> DataFrame:
     """Events per anomaly, all at the anomaly's time."""
+    metrics = spread(metrics, "insight_id")
     ts = F.col("timestamp")
     sev = _up("severity")
     kind = _text("anomaly_type")

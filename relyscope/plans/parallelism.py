@@ -1,0 +1,23 @@
+"""Spread CPU-heavy per-row work over the cluster when the source is too coarse.
+
+A Parquet split cannot be smaller than a row group, so a small table written
+as one row group is scanned by a single task however many cores there are.
+For views that spend real CPU per row (text cleaning, JSON parsing,
+timelines) :func:`spread` hash-partitions the input on its unique row key, but
+only when the input has fewer partitions than the session's parallelism. On
+a large input (many files / row groups) it returns the frame unchanged, so it
+never adds a shuffle at scale. Hashing a unique key gives even partitions and
+is deterministic, so a lost task recomputes exactly its rows (a round-robin
+split would need a pre-sort for that).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if target <= 1 or df.rdd.getNumPartitions() >= target:  # planning only, no job
+        return df
+    return df.repartition(target, key)

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from .functions.derived import incident_status
 from .functions.impact import OUTPUTS, with_business_impact
-from .functions.text import clean_text, ws_strip
+from .functions.text import with_clean_texts, ws_strip
 from .operators import detail as D
 from .operators import incidents as I
 from .operators import insights as N
 from .operators import metrics as M
 from .operators import paging as P
 from .operators import resolve as R
+from .plans.parallelism import spread
 from .sources.fixtures import (
     INCIDENTS_AS_OF, METRICS_AS_OF, load_incidents, load_lookup_ids, load_metrics,
     resolutions_from_incidents,
@@ -79,19 +80,24 @@ def _resolve_unmatched(spark, sf_dir):
     return R.unmatched_resolutions(load_incidents(spark, sf_dir), load_lookup_ids(spark, sf_dir))
 
 
+def _spread_inc(inc):
+    return spread(inc, "incident_id")
+
+
 def _status_view(inc):
     return inc.select("incident_id", incident_status().alias("status"))
 
 
 def _clean_view(inc):
-    return inc.select("incident_id", clean_text("root_cause").alias("root_cause_text"),
-                      clean_text("suggested_fix").alias("suggested_fix_text"))
+    return with_clean_texts(_spread_inc(inc), {"root_cause_text": "root_cause",
+                                  "suggested_fix_text": "suggested_fix"}).select(
+        "incident_id", "root_cause_text", "suggested_fix_text")
 
 
 def _impact_view(inc):
     # The reference's own call: the lower-cased impact text is the level.
     b = F.col("business_impact")
-    staged = with_business_impact(inc, ws_strip(F.lower(b)), b, F.col("suggested_fix"),
+    staged = with_business_impact(_spread_inc(inc), ws_strip(F.lower(b)), b, F.col("suggested_fix"),
                                   F.col("root_cause"))
     return staged.select("incident_id", *OUTPUTS)
 
