@@ -232,6 +232,14 @@ def build() -> dict[str, str]:
                 f"FROM ({count_sql}) c) p")
 
     return {
+        "incident_daily_rollup": _inc(
+            "SELECT CAST(detected_at AS DATE) AS day, detected_date, workspace_id, team_name, "
+            f"cause_category, COUNT(*) AS n, {_cnt('resolved_at IS NULL')} AS n_open, "
+            f"{_cnt(HIGH_OPEN)} AS n_open_high, {_cnt('auto_resolved = true')} AS n_auto, "
+            "CAST(COALESCE(SUM(CASE WHEN mttr_minutes > 0 THEN mttr_minutes END), 0) AS BIGINT) "
+            f"AS mttr_sum, {_cnt('mttr_minutes > 0')} AS mttr_n FROM incidents "
+            "GROUP BY CAST(detected_at AS DATE), detected_date, workspace_id, team_name, "
+            "cause_category"),
         "incident_resolve_unmatched": _inc(
             "SELECT DISTINCT incident_id FROM lookup_ids "
             "WHERE incident_id NOT IN (SELECT incident_id FROM incidents)", lookup_cte()),

@@ -23,6 +23,7 @@ from .operators import insights as N
 from .operators import metrics as M
 from .operators import paging as P
 from .operators import resolve as R
+from .plans import rollup as RU
 from .plans.parallelism import spread
 from .sources.fixtures import (
     INCIDENTS_AS_OF, METRICS_AS_OF, load_incidents, load_lookup_ids, load_metrics,
@@ -108,6 +109,25 @@ def _reliability(spark, sf_dir):
                                  metrics_as_of=METRICS_AS_OF)
 
 
+def _rollup(spark, sf_dir):
+    return RU.incident_daily_rollup(load_incidents(spark, sf_dir))
+
+
+def _from_rollup(fn, **kw) -> Query:
+    return lambda spark, sf_dir: fn(_rollup(spark, sf_dir), as_of=INCIDENTS_AS_OF, **kw)
+
+
+# Rollup-derived answers: same keys' oracle SQL as the direct operators.
+ROLLUP_TWINS = {
+    "incident_week_stats_from_rollup": "incident_week_stats",
+    "overview_kpis_from_rollup": "overview_kpis",
+    "failures_by_category_from_rollup": "failures_by_category",
+    "failures_daily_from_rollup": "failures_daily",
+    "mttr_by_team_from_rollup": "mttr_by_team",
+    "workspace_rollup_from_rollup": "workspace_rollup",
+}
+
+
 def build() -> dict[str, Query]:
     q: dict[str, Query] = {
         # incidents
@@ -166,5 +186,14 @@ def build() -> dict[str, Query]:
         "workspace_health": _then(q["workspace_rollup"], N.workspace_health),
         "workspace_health_summary": _then(q["workspace_rollup"], N.workspace_health_summary),
         "reliability_summary": _reliability,
+        # shared daily rollup and the insights answers read from it
+        "incident_daily_rollup": _rollup,
+        "incident_week_stats_from_rollup": _from_rollup(RU.week_stats, days=INC_DAYS),
+        "overview_kpis_from_rollup": _from_rollup(RU.overview_kpis, days=INC_DAYS),
+        "failures_by_category_from_rollup": _from_rollup(RU.failures_by_category,
+                                                         days=INC_LONG_DAYS),
+        "failures_daily_from_rollup": _from_rollup(RU.failures_daily),
+        "mttr_by_team_from_rollup": _from_rollup(RU.mttr_by_team, days=INC_LONG_DAYS),
+        "workspace_rollup_from_rollup": _from_rollup(RU.workspace_rollup, days=INC_DAYS),
     })
     return q
