@@ -16,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition ``df`` on its unique row key (one or more columns) when
+    it has fewer partitions than the session's parallelism; else unchanged."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if target <= 1 or df.rdd.getNumPartitions() >= target:  # planning only, no job
         return df
-    return df.repartition(target, key)
+    return df.repartition(target, *keys)

@@ -61,11 +61,12 @@ def _incident_lookup(spark, sf_dir):
 
 
 def _over_inc(view) -> Query:
-    return lambda spark, sf_dir: view(load_incidents(spark, sf_dir))
+    # Per-row views over the whole table: CPU per row, so spread the scan.
+    return lambda spark, sf_dir: view(load_incidents(spark, sf_dir, spread_rows=True))
 
 
 def _over_met(view) -> Query:
-    return lambda spark, sf_dir: view(load_metrics(spark, sf_dir))
+    return lambda spark, sf_dir: view(load_metrics(spark, sf_dir, spread_rows=True))
 
 
 def _then(query: Query, view, **kw) -> Query:

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.parallelism import spread
+
 # The fixture definitions of FIXTURES.md, one expression per
 # output column, in output order.
 INCIDENT_EXPRS: tuple[str, ...] = (
@@ -99,12 +101,21 @@ def metrics_from_lineitem(lineitem: DataFrame) -> DataFrame:
     return lineitem.selectExpr(*METRIC_EXPRS)
 
 
-def load_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents_from_events(_read(spark, sf_dir, "events"))
+def load_incidents(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
+    """Incidents view; ``spread_rows`` spreads the raw rows over the cores first
+    (for CPU-heavy per-row views; a no-op on an already split source)."""
+    events = _read(spark, sf_dir, "events")
+    if spread_rows:
+        events = spread(events, "event_id")
+    return incidents_from_events(events)
 
 
-def load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics_from_lineitem(_read(spark, sf_dir, "lineitem"))
+def load_metrics(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
+    """Metric view; ``spread_rows`` as in :func:`load_incidents`."""
+    lineitem = _read(spark, sf_dir, "lineitem")
+    if spread_rows:
+        lineitem = spread(lineitem, "l_orderkey", "l_linenumber")
+    return metrics_from_lineitem(lineitem)
 
 
 def resolutions_from_incidents(incidents: DataFrame) -> DataFrame:
