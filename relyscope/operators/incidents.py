@@ -69,7 +69,7 @@ def incident_lookup(incidents: DataFrame, ids) -> DataFrame:
     wanted = ids.select("incident_id").distinct()
     rest = [c for c in incidents.columns if c != "incident_id"]
     marked = incidents.withColumn("_found", F.lit(True))
-    small, is_bc = maybe_broadcast(wanted)
+    small, is_bc = maybe_broadcast(wanted, bounded_by=ids)
     if is_bc:
         matched = marked.join(small, "incident_id", "left_semi")
         joined = wanted.join(matched, "incident_id", "left")

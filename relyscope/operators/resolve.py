@@ -36,7 +36,7 @@ def latest_requests(incidents: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 def resolve_incidents(incidents: DataFrame, resolutions: DataFrame) -> DataFrame:
     """The incidents table with the requested resolutions applied."""
-    latest, _ = maybe_broadcast(latest_requests(incidents, resolutions))
+    latest, _ = maybe_broadcast(latest_requests(incidents, resolutions), bounded_by=resolutions)
     joined = incidents.join(latest, "incident_id", "left")
     cols = [F.coalesce(F.col("_new_resolved_at"), F.col("resolved_at")).alias("resolved_at")
             if c == "resolved_at" else F.col(c) for c in incidents.columns]
@@ -50,7 +50,7 @@ def unmatched_resolutions(incidents: DataFrame, resolutions: DataFrame) -> DataF
     (semi join), and the small found set is anti-joined from the batch.
     """
     wanted = resolutions.select("incident_id").distinct()
-    small, is_bc = maybe_broadcast(wanted)
+    small, is_bc = maybe_broadcast(wanted, bounded_by=resolutions)
     ids = incidents.select("incident_id")
     if is_bc:
         found = ids.join(small, "incident_id", "left_semi")

@@ -28,9 +28,15 @@ def is_small(df: DataFrame, limit_rows: int) -> bool:
     return df.limit(limit_rows + 1).count() <= limit_rows
 
 
-def maybe_broadcast(df: DataFrame, limit_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Return ``(broadcast(df), True)`` if proven small, else ``(df, False)``."""
+def maybe_broadcast(df: DataFrame, limit_rows: int | None = None,
+                    bounded_by: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Return ``(broadcast(df), True)`` if proven small, else ``(df, False)``.
+
+    ``bounded_by`` is a frame with at least as many rows as ``df`` (the input
+    of a ``distinct`` or ``groupBy`` that produced it); checking it instead of
+    ``df`` proves the bound without running the aggregate's shuffle.
+    """
     n = max_rows(df, limit_rows)
-    if n > 0 and is_small(df, n):
+    if n > 0 and is_small(df if bounded_by is None else bounded_by, n):
         return F.broadcast(df), True
     return df, False
