@@ -58,8 +58,8 @@ def incident_lookup(incidents: DataFrame, ids) -> DataFrame:
 
     ``ids`` is a frame with an ``incident_id`` column (or a list of strings).
     A proven-small batch is broadcast and the incidents scan streams past it
-    with no shuffle; the small matched set is then left-joined back to the
-    ids so unknown ids come out with ``found = false`` (replacing the
+    with no shuffle; the matched set (no larger than the batch) is broadcast
+    back onto the ids so unknown ids come out with ``found = false`` (replacing the
     reference's ``{"error": "not found"}`` reply). A large batch falls back to
     one shuffle join.
     """
@@ -71,8 +71,10 @@ def incident_lookup(incidents: DataFrame, ids) -> DataFrame:
     marked = incidents.withColumn("_found", F.lit(True))
     small, is_bc = maybe_broadcast(wanted, bounded_by=ids)
     if is_bc:
+        # The matched rows number at most the proven-small batch (incident_id
+        # is the key), so they are broadcast back: no shuffle on either side.
         matched = marked.join(small, "incident_id", "left_semi")
-        joined = wanted.join(matched, "incident_id", "left")
+        joined = wanted.join(F.broadcast(matched), "incident_id", "left")
     else:
         joined = wanted.join(marked, "incident_id", "left")
     return joined.select(

@@ -54,7 +54,7 @@ def unmatched_resolutions(incidents: DataFrame, resolutions: DataFrame) -> DataF
     ids = incidents.select("incident_id")
     if is_bc:
         found = ids.join(small, "incident_id", "left_semi")
-        return wanted.join(found, "incident_id", "left_anti")
+        return wanted.join(F.broadcast(found), "incident_id", "left_anti")
     return wanted.join(ids, "incident_id", "left_anti")
 
 
