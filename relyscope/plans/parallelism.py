@@ -16,10 +16,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def input_partitions(df: DataFrame) -> int | None:
+    """Partition count of ``df`` from planning alone (never runs a stage).
+
+    A plan with a shuffle reports its output partitioning; a plan without one
+    is a scan pipeline whose RDD can be built without executing anything.
+    Returns None when the count is only known after execution (then the
+    shuffle below already split the work).
+    """
+    plan = df._jdf.queryExecution().executedPlan()  # planned, not executed
+    n = plan.outputPartitioning().numPartitions()
+    if n > 0:
+        return n
+    text = plan.toString()
+    if "Exchange" in text or "AdaptiveSparkPlan" in text:
+        return None
+    return df.rdd.getNumPartitions()
+
+
 def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
     """Hash-partition ``df`` on its unique row key (one or more columns) when
     it has fewer partitions than the session's parallelism; else unchanged."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if target <= 1 or df.rdd.getNumPartitions() >= target:  # planning only, no job
+    n = input_partitions(df)
+    if target <= 1 or n is None or n >= target:
         return df
     return df.repartition(target, *keys)
