@@ -172,11 +172,17 @@ def failures_by_category(incidents: DataFrame, as_of=None, days: int = 7, limit:
             .limit(int(limit)))
 
 
+def daily_counts(incidents: DataFrame, as_of=None, days: int = DAILY_DAYS,
+                 date_partitioned: bool = False) -> DataFrame:
+    """I10 rows without the display order (input of the daily trend, D16)."""
+    return (incidents.where(incident_window(as_of, days, date_partitioned))
+            .groupBy("detected_date").agg(F.count(F.lit(1)).alias("cnt")))
+
+
 def failures_daily(incidents: DataFrame, as_of=None, days: int = DAILY_DAYS,
                    date_partitioned: bool = False) -> DataFrame:
     """Incidents per ``detected_date`` over the fixed 14-day window."""
-    return (incidents.where(incident_window(as_of, days, date_partitioned))
-            .groupBy("detected_date").agg(F.count(F.lit(1)).alias("cnt"))
+    return (daily_counts(incidents, as_of, days, date_partitioned)
             .orderBy(F.col("detected_date").asc_nulls_first()))
 
 

@@ -49,9 +49,10 @@ def metric_category_share(by_category: DataFrame) -> DataFrame:
 
 
 def severity_share(by_severity: DataFrame) -> DataFrame:
-    """D15 on M6 rows."""
+    """D15 on M6 rows (ordered or not; the result carries the display order)."""
     return by_severity.select(
-        "severity", label("severity").alias("label"), "cnt", _share("cnt").alias("share"))
+        "severity", label("severity").alias("label"), "cnt", _share("cnt").alias("share")
+    ).orderBy(F.col("cnt").desc(), F.col("severity").asc_nulls_first())
 
 
 def team_mttr_share(by_team: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def team_mttr_share(by_team: DataFrame) -> DataFrame:
 
 
 def daily_trend(daily: DataFrame) -> DataFrame:
-    """D16 on I10 rows (at most 15).
+    """D16 on I10 rows (at most 15; ordered or not, see ``daily_counts``).
 
     ``latest`` is the last row in date order (nulls first, so the newest date,
     or the null-date row when it is the only one); ``avg_cnt`` is the mean
@@ -82,7 +83,7 @@ def daily_trend(daily: DataFrame) -> DataFrame:
         latest.alias("latest_cnt"), avg.alias("avg_cnt"), "_rn")
         .where(F.col("_rn") <= TREND_BARS)
         .select("*", (F.col("latest_cnt") > F.col("avg_cnt")).alias("above_avg"))
-        .drop("_rn"))
+        .drop("_rn").orderBy(F.col("detected_date").asc_nulls_first()))
 
 
 def workspace_health(rollup: DataFrame) -> DataFrame:

@@ -84,10 +84,15 @@ def metrics_by_category(metrics: DataFrame, as_of=None, days: int = 7, limit: in
             .limit(int(limit)))
 
 
+def severity_counts(metrics: DataFrame, as_of=None, days: int = 7) -> DataFrame:
+    """M6 rows without the display order (input of the severity shares)."""
+    return (metrics.where(metric_window(as_of, days))
+            .groupBy(_sev().alias("severity")).agg(F.count(F.lit(1)).alias("cnt")))
+
+
 def metrics_by_severity(metrics: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     """M6: anomalies per upper-cased severity (bounded by distinct severities)."""
-    return (metrics.where(metric_window(as_of, days))
-            .groupBy(_sev().alias("severity")).agg(F.count(F.lit(1)).alias("cnt"))
+    return (severity_counts(metrics, as_of, days)
             .orderBy(F.col("cnt").desc(), F.col("severity").asc_nulls_first()))
 
 

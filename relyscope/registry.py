@@ -181,9 +181,9 @@ def build() -> dict[str, Query]:
         "metric_page_summary": _then(q["metric_count"], P.page_summary, page_size=50, page=1000),
         "category_share": _then(q["failures_by_category"], N.category_share),
         "metric_category_share": _then(q["metrics_by_category"], N.metric_category_share),
-        "severity_share": _then(q["metrics_by_severity"], N.severity_share),
+        "severity_share": _then(_met(M.severity_counts, days=MET_DAYS), N.severity_share),
         "team_mttr_share": _then(q["mttr_by_team"], N.team_mttr_share),
-        "daily_trend": _then(q["failures_daily"], N.daily_trend),
+        "daily_trend": _then(_inc(I.daily_counts), N.daily_trend),
         "workspace_health": _then(q["workspace_rollup"], N.workspace_health),
         "workspace_health_summary": _then(q["workspace_rollup"], N.workspace_health_summary),
         "reliability_summary": _reliability,
