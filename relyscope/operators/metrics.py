@@ -58,6 +58,17 @@ def metric_page(metrics: DataFrame, as_of=None, days: int = 7, severity: str | N
             .orderBy(*newest_first()).offset(int(offset)).limit(int(page_size)))
 
 
+def metric_page_after(metrics: DataFrame, after_timestamp, after_insight_id: str, as_of=None,
+                      days: int = 7, severity: str | None = "All", category: str | None = "All",
+                      page_size: int = 20) -> DataFrame:
+    """Keyset variant of M2: the page after row ``(timestamp, insight_id)``."""
+    ts = F.lit(after_timestamp).cast(metrics.schema["timestamp"].dataType)
+    after = (F.col("timestamp") < ts) | (
+        (F.col("timestamp") == ts) & (F.col("insight_id") > F.lit(after_insight_id)))
+    return (_filtered(metrics, as_of, days, severity, category).where(after)
+            .select(*METRIC_COLUMNS).orderBy(*newest_first()).limit(int(page_size)))
+
+
 def metric_count(metrics: DataFrame, as_of=None, days: int = 7, severity: str | None = "All",
                  category: str | None = "All") -> DataFrame:
     """M3: row count for the same filters as M2."""

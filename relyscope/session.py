@@ -25,6 +25,24 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (pass to spark-submit or the session builder).
+# AQE picks the post-shuffle partition count from the data (the initial
+# count only has to be high enough for the largest shuffle: the resolve and
+# lookup fallbacks); skewed shuffle partitions are split at runtime; file
+# splits stay near one row group so scans spread over all executors.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.shuffle.partitions": "2000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+}
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
                   app: str = "relyscope", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)

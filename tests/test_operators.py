@@ -101,6 +101,16 @@ def test_keyset_page_follows_offset_page(spark):
     assert [r.incident_id for r in after] == [r.incident_id for r in second]
 
 
+def test_metric_keyset_page_follows_offset_page(spark):
+    from relyscope.sources.fixtures import load_metrics
+    m = load_metrics(spark, SMALL)
+    first = M.metric_page(m, as_of="2001-11-05", days=90, page_size=15).collect()
+    second = M.metric_page(m, as_of="2001-11-05", days=90, page_size=15, offset=15).collect()
+    after = M.metric_page_after(m, first[-1].timestamp, first[-1].insight_id, as_of="2001-11-05",
+                                days=90, page_size=15).collect()
+    assert [r.insight_id for r in after] == [r.insight_id for r in second]
+
+
 @pytest.mark.parametrize("total,size,asked", [(0, 20, 0), (1, 20, 5), (95, 20, 2), (100, 20, 9),
                                                (1000, 50, 3)])
 def test_page_summary(spark, total, size, asked):
