@@ -175,22 +175,28 @@ def metric_display(metrics: DataFrame) -> DataFrame:
     )
 
 
-def _severity_level() -> Column:
+def _severity_level(sev: Column) -> Column:
     m = F.create_map(*[F.lit(x) for kv in SEVERITY_LEVEL.items() for x in kv])
-    return F.coalesce(m[_up("severity")], F.lit("medium"))
+    return F.coalesce(m[sev], F.lit("medium"))
+
+
+def _with_severity(metrics: DataFrame) -> DataFrame:
+    # Upper-case the severity once per row (case mapping is not free) and
+    # derive the impact level from it in the same stage.
+    return metrics.select("*", _up("severity").alias("__sev")).select(
+        "*", _severity_level(F.col("__sev")).alias("__lvl"))
 
 
 def metric_detail(metrics: DataFrame) -> DataFrame:
     """One wide row per anomaly with the detail page's derived fields."""
-    metrics = spread(metrics, "insight_id")
-    level = _severity_level()
+    metrics = _with_severity(spread(metrics, "insight_id"))
     texts = with_clean_texts(metrics, {"suggested_fix_text": "suggested_fix"})
-    staged = with_business_impact(texts, level, F.col("business_impact"),
+    staged = with_business_impact(texts, F.col("__lvl"), F.col("business_impact"),
                                   F.col("suggested_fix_text"), F.lit(DASH), cleaned=True)
     unit = F.coalesce(F.col("metric_unit"), F.lit(""))
     return staged.select(
         "insight_id", _text("metric_name").alias("metric_name"),
-        _up("severity").alias("severity"), level.alias("impact_level"),
+        F.col("__sev").alias("severity"), F.col("__lvl").alias("impact_level"),
         _text("metric_value").alias("value_text"),
         F.when(unit == F.lit(""), F.lit(NO_UNIT)).otherwise(unit).alias("unit_text"),
         _text("anomaly_type").alias("anomaly_type"),
@@ -208,9 +214,9 @@ def metric_detail(metrics: DataFrame) -> DataFrame:
 
 def metric_timeline(metrics: DataFrame) -> DataFrame:
     """Events per anomaly, all at the anomaly's time."""
-    metrics = spread(metrics, "insight_id")
+    metrics = spread(metrics, "insight_id").select("*", _up("severity").alias("__sev"))
     ts = F.col("timestamp")
-    sev = _up("severity")
+    sev = F.col("__sev")
     kind = _text("anomaly_type")
     recorded = _step("gray", ts, F.concat(F.lit(MTL_RECORDED), _text("metric_value"), F.lit(" "),
                                           _text("metric_unit")))

@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Local mode runs every task inside the driver JVM: give it real memory.
+    "spark.driver.memory": "4g",
     # Let the JIT compile large generated methods (wide per-row views chain
     # many projections into one method). On a cluster set the same flag in
     # spark.executor.extraJavaOptions.
