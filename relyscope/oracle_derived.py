@@ -8,7 +8,9 @@ as the Spark side (RE2 and Java read it alike).
 from __future__ import annotations
 
 from .functions.text import WS
-from .oracle import HIGH_OPEN, SEV_HIGH, _cnt, _inc, _met, _w_inc, _w_met
+from .oracle import (
+    FAILING_OPEN, HIGH_OPEN, SEV_HIGH, STRESS_OPEN, _cnt, _inc, _met, _w_inc, _w_met,
+)
 from .sources.fixtures import incidents_cte, lookup_cte, metrics_cte
 
 DASH = "—"
@@ -231,7 +233,31 @@ def build() -> dict[str, str]:
                 f"greatest(CAST(1 AS BIGINT), CAST(ceil(cnt / {size}) AS BIGINT)) AS pages "
                 f"FROM ({count_sql}) c) p")
 
+    page_parts = {
+        "incident_week_stats": (
+            "SELECT COUNT(*) AS total, "
+            f"{_cnt('resolved_at IS NULL')} AS open_count, {_cnt('auto_resolved = true')} AS auto_resolved, "
+            f"COUNT(DISTINCT cause_category) AS unique_categories FROM incidents WHERE {_w_inc(30)}"),
+        "overview_kpis": (
+            f"SELECT {_cnt('resolved_at IS NULL')} AS active_issues, "
+            f"{_cnt(FAILING_OPEN)} AS pipelines_failing, {_cnt(STRESS_OPEN)} AS clusters_stress, "
+            "CAST(COALESCE(ROUND(AVG(CASE WHEN mttr_minutes > 0 THEN mttr_minutes END), 0), 0) "
+            f"AS BIGINT) AS mttr_min, COUNT(*) AS total, {_cnt('auto_resolved = true')} AS auto_resolved "
+            f"FROM incidents WHERE {_w_inc(30)}"),
+        "failures_by_category": by_cat,
+        "failures_daily": (f"SELECT detected_date, COUNT(*) AS cnt FROM incidents "
+                           f"WHERE {_w_inc(14)} GROUP BY detected_date"),
+        "mttr_by_team": by_team,
+        "workspace_rollup": (
+            "SELECT workspace_id, "
+            f"{_cnt('resolved_at IS NULL')} AS \"open\", {_cnt('resolved_at IS NOT NULL')} AS resolved, "
+            f"{_cnt(HIGH_OPEN)} AS crit FROM incidents WHERE {_w_inc(30)} GROUP BY workspace_id"),
+    }
+    insights_answers = "\nUNION ALL BY NAME\n".join(
+        f"SELECT '{q}' AS question, * FROM ({body}) t{i}"
+        for i, (q, body) in enumerate(page_parts.items()))
     return {
+        "insights_answers": _inc(insights_answers),
         "incident_daily_rollup": _inc(
             "SELECT CAST(detected_at AS DATE) AS day, detected_date, workspace_id, team_name, "
             f"cause_category, COUNT(*) AS n, {_cnt('resolved_at IS NULL')} AS n_open, "

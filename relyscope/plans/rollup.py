@@ -20,6 +20,8 @@ partition overwrite), which is what the streaming refresher uses.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,13 +60,16 @@ def _in_window(as_of, days: int) -> Column:
     return F.col("day") >= window_start(as_of, days)
 
 
-def _sum(c: str | Column) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-
+# The answers below select their window with conditional sums rather than a
+# filter: a filter on ``day`` would be pushed below the rollup aggregate and
+# make every answer's rollup subplan different. With conditional sums all
+# answers share one identical rollup subplan, so ``insights_answers`` scans
+# and shuffles the incidents once for the whole page. Groups with nothing in
+# the window are dropped after aggregating, as a filter would have done.
 
-def _sum_if(cond: Column, c: str) -> Column:
-    return _sum(F.when(cond, F.col(c)))
+def _wsum(c: str | Column, as_of, days: int) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.sum(F.when(_in_window(as_of, days), c)), F.lit(0)).cast("bigint")
 
 
 def _mean(sum_col: Column, n_col: Column) -> Column:
@@ -73,52 +78,87 @@ def _mean(sum_col: Column, n_col: Column) -> Column:
 
 def week_stats(rollup: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     """I4 from the rollup."""
-    return rollup.where(_in_window(as_of, days)).agg(
-        _sum("n").alias("total"), _sum("n_open").alias("open_count"),
-        _sum("n_auto").alias("auto_resolved"),
-        F.count_distinct("cause_category").alias("unique_categories"))
+    in_w = _in_window(as_of, days) & (F.col("n") > 0)
+    return rollup.agg(
+        _wsum("n", as_of, days).alias("total"), _wsum("n_open", as_of, days).alias("open_count"),
+        _wsum("n_auto", as_of, days).alias("auto_resolved"),
+        F.count_distinct(F.when(in_w, F.col("cause_category"))).alias("unique_categories"))
 
 
 def overview_kpis(rollup: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     """I5 from the rollup."""
     cat = F.col("cause_category")
-    mean = _mean(F.sum("mttr_sum"), F.sum("mttr_n"))
-    return rollup.where(_in_window(as_of, days)).agg(
-        _sum("n_open").alias("active_issues"),
-        _sum_if(cat.isin(*FAILING_CATEGORIES), "n_open").alias("pipelines_failing"),
-        _sum_if(cat == F.lit(STRESS_CATEGORY), "n_open").alias("clusters_stress"),
+    mean = _mean(_wsum("mttr_sum", as_of, days), _wsum("mttr_n", as_of, days))
+    return rollup.agg(
+        _wsum("n_open", as_of, days).alias("active_issues"),
+        _wsum(F.when(cat.isin(*FAILING_CATEGORIES), F.col("n_open")), as_of, days)
+        .alias("pipelines_failing"),
+        _wsum(F.when(cat == F.lit(STRESS_CATEGORY), F.col("n_open")), as_of, days)
+        .alias("clusters_stress"),
         F.coalesce(F.round(mean, 0), F.lit(0.0)).cast("bigint").alias("mttr_min"),
-        _sum("n").alias("total"), _sum("n_auto").alias("auto_resolved"))
+        _wsum("n", as_of, days).alias("total"), _wsum("n_auto", as_of, days).alias("auto_resolved"))
 
 
 def failures_by_category(rollup: DataFrame, as_of=None, days: int = 7, limit: int = 8) -> DataFrame:
     """I9 from the rollup."""
-    return (rollup.where(_in_window(as_of, days)).groupBy("cause_category")
-            .agg(_sum("n").alias("cnt"))
+    return (rollup.groupBy("cause_category").agg(_wsum("n", as_of, days).alias("cnt"))
+            .where(F.col("cnt") > 0)
             .orderBy(F.col("cnt").desc(), F.col("cause_category").asc_nulls_first())
             .limit(int(limit)))
 
 
 def failures_daily(rollup: DataFrame, as_of=None, days: int = DAILY_DAYS) -> DataFrame:
     """I10 from the rollup (window on the detection day, groups on detected_date)."""
-    return (rollup.where(_in_window(as_of, days)).groupBy("detected_date")
-            .agg(_sum("n").alias("cnt")).orderBy(F.col("detected_date").asc_nulls_first()))
+    return (rollup.groupBy("detected_date").agg(_wsum("n", as_of, days).alias("cnt"))
+            .where(F.col("cnt") > 0).orderBy(F.col("detected_date").asc_nulls_first()))
 
 
 def mttr_by_team(rollup: DataFrame, as_of=None, days: int = 7, limit: int = 5) -> DataFrame:
     """I11 from the rollup; teams without a positive MTTR drop out, as in I11."""
-    return (rollup.where(_in_window(as_of, days) & (F.col("mttr_n") > 0)).groupBy("team_name")
-            .agg(F.round(_mean(F.sum("mttr_sum"), F.sum("mttr_n")) / 60, 1).alias("hrs"))
+    return (rollup.groupBy("team_name").agg(
+                _wsum("mttr_sum", as_of, days).alias("_s"), _wsum("mttr_n", as_of, days).alias("_n"))
+            .where(F.col("_n") > 0)
+            .select("team_name", F.round(_mean(F.col("_s"), F.col("_n")) / 60, 1).alias("hrs"))
             .orderBy(F.col("hrs").desc_nulls_last(), F.col("team_name").asc_nulls_first())
             .limit(int(limit)))
 
 
 def workspace_rollup(rollup: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     """I12 from the rollup."""
-    return (rollup.where(_in_window(as_of, days)).groupBy("workspace_id").agg(
-        _sum("n_open").alias("open"), _sum(F.col("n") - F.col("n_open")).alias("resolved"),
-        _sum("n_open_high").alias("crit"))
-        .orderBy(F.col("open").desc(), F.col("workspace_id").asc_nulls_first()))
+    return (rollup.groupBy("workspace_id").agg(
+                _wsum("n", as_of, days).alias("_n"), _wsum("n_open", as_of, days).alias("open"),
+                _wsum("n_open_high", as_of, days).alias("crit"))
+            .where(F.col("_n") > 0)
+            .select("workspace_id", "open", (F.col("_n") - F.col("open")).alias("resolved"), "crit")
+            .orderBy(F.col("open").desc(), F.col("workspace_id").asc_nulls_first()))
+
+
+# The insights page's questions, with the window each one uses
+# (None = the page's chosen window).
+PAGE_QUESTIONS = (
+    ("incident_week_stats", week_stats, None),
+    ("overview_kpis", overview_kpis, None),
+    ("failures_by_category", failures_by_category, None),
+    ("failures_daily", failures_daily, DAILY_DAYS),
+    ("mttr_by_team", mttr_by_team, None),
+    ("workspace_rollup", workspace_rollup, None),
+)
+
+
+def insights_answers(incidents: DataFrame, as_of=None, days: int = 7) -> DataFrame:
+    """All six incident questions of the insights page as one tagged result.
+
+    One rollup restricted to the widest window the page needs (pushed to the
+    scan), shared by every answer; the answers are unioned by name with a
+    ``question`` column, so the page is one job whose result is bounded by
+    the number of categories, days, teams and workspaces.
+    """
+    widest = max(int(days), DAILY_DAYS)
+    roll = incident_daily_rollup(incidents.where(
+        F.col("detected_at") >= window_start(as_of, widest)))
+    parts = [fn(roll, as_of=as_of, days=int(d or days)).select(F.lit(name).alias("question"), "*")
+             for name, fn, d in PAGE_QUESTIONS]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def write_rollup(rollup: DataFrame, path: str, mode: str = "errorifexists") -> str:
