@@ -24,7 +24,10 @@ def input_partitions(df: DataFrame) -> int | None:
     Returns None when the count is only known after execution (then the
     shuffle below already split the work).
     """
-    plan = df._jdf.queryExecution().executedPlan()  # planned, not executed
+    try:
+        plan = df._jdf.queryExecution().executedPlan()  # planned, not executed
+    except AttributeError:  # no JVM plan handle (e.g. Spark Connect): unknown
+        return None
     n = plan.outputPartitioning().numPartitions()
     if n > 0:
         return n
@@ -37,7 +40,10 @@ def input_partitions(df: DataFrame) -> int | None:
 def spread(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
     """Hash-partition ``df`` on its unique row key (one or more columns) when
     it has fewer partitions than the session's parallelism; else unchanged."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # no SparkContext on this client: leave the plan alone
+        return df
     n = input_partitions(df)
     if target <= 1 or n is None or n >= target:
         return df

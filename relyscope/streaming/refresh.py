@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.resolve import resolve_incidents
+from ..plans.broadcast import maybe_broadcast
 from ..plans.rollup import refresh_days
 from ..session import checkpoint_dir
 
@@ -39,20 +40,47 @@ def current_incidents(spark: SparkSession, incidents_path: str,
     return resolve_incidents(inc, res)
 
 
+def _resolved_days(inc: DataFrame, ids: DataFrame, recent_start, date_partitioned: bool):
+    """Detection days of the incidents in ``ids``; exact, recent data first.
+
+    Resolutions nearly always target recent incidents, so the ids are looked
+    up in the last ``recent_days`` first (a pruned scan; partition-pruned when
+    ``date_partitioned``). Only ids not found there - usually none, checked
+    with a one-row probe - trigger a lookup over the whole table.
+    """
+    small, ids_small = maybe_broadcast(ids)
+    cond = F.col("detected_at") >= recent_start
+    if date_partitioned:
+        cond = cond & (F.col("detected_date") >= recent_start)
+    recent = inc.where(cond).join(small, "incident_id", "left_semi").select(
+        "incident_id", F.to_date("detected_at").alias("day"))
+    found = recent.select("incident_id")  # at most one row per requested id
+    missing = ids.join(F.broadcast(found) if ids_small else found, "incident_id", "left_anti")
+    days = recent.select("day")
+    if missing.limit(1).count() > 0:
+        rest, _ = maybe_broadcast(missing, bounded_by=ids)
+        days = days.unionByName(inc.join(rest, "incident_id", "left_semi").select(
+            F.to_date("detected_at").alias("day")))
+    return days
+
+
 def touched_days(spark: SparkSession, incidents_path: str, new_incidents: DataFrame,
-                 new_resolutions: DataFrame) -> DataFrame:
+                 new_resolutions: DataFrame, recent_days: int = 90,
+                 date_partitioned: bool = False) -> DataFrame:
     """Detection days of the new incident rows and of the newly resolved ones."""
     inc_days = new_incidents.select(F.to_date("detected_at").alias("day"))
     ids = new_resolutions.select("incident_id").distinct()
-    res_days = (spark.read.parquet(incidents_path).join(ids, "incident_id", "left_semi")
-                .select(F.to_date("detected_at").alias("day")))
+    recent_start = F.date_sub(F.current_date(), int(recent_days))
+    res_days = _resolved_days(spark.read.parquet(incidents_path), ids, recent_start,
+                              date_partitioned)
     return inc_days.unionByName(res_days).distinct()
 
 
 def start_rollup_refresh(spark: SparkSession, incidents_path: str, resolutions_path: str,
                          rollup_path: str, checkpoint_location: str | None = None,
                          trigger_seconds: int = 30, available_now: bool = False,
-                         date_partitioned: bool = False) -> StreamingQuery:
+                         date_partitioned: bool = False,
+                         recent_days: int = 90) -> StreamingQuery:
     """Start the refresher; returns the running ``StreamingQuery``.
 
     ``available_now=True`` processes everything pending and stops (useful for
@@ -75,7 +103,8 @@ def start_rollup_refresh(spark: SparkSession, incidents_path: str, resolutions_p
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         new_inc = batch.where(F.col("src") == "i")
         new_res = batch.where(F.col("src") == "r")
-        days = touched_days(spark, incidents_path, new_inc, new_res)
+        days = touched_days(spark, incidents_path, new_inc, new_res, recent_days=recent_days,
+                            date_partitioned=date_partitioned)
         refresh_days(current_incidents(spark, incidents_path, resolutions_path), days,
                      rollup_path, date_partitioned=date_partitioned)
 

@@ -45,3 +45,19 @@ def test_refresh_tracks_appends_and_resolutions(spark, tmp_out):
     total_open = spark.read.parquet(rollup_dir).agg(F.sum("n_open")).first()[0]
     expect = current_incidents(spark, inc_dir, res_dir).where("resolved_at IS NULL").count()
     assert total_open == expect
+
+
+def test_resolved_days_recent_first_and_fallback(spark):
+    from relyscope.streaming.refresh import _resolved_days
+
+    inc = load_incidents(spark, SMALL)
+    old_id, old_day = inc.where("detected_at < '2024-01-05'").select(
+        "incident_id", F.to_date("detected_at")).first()
+    new_id, new_day = inc.where("detected_at >= '2024-01-25'").select(
+        "incident_id", F.to_date("detected_at")).first()
+    ids = spark.createDataFrame([(old_id,), (new_id,), ("INC-nope",)], "incident_id string")
+    start = F.lit(dt.date(2024, 1, 20))
+    got = {r.day for r in _resolved_days(inc, ids, start, False).collect()}
+    assert got == {old_day, new_day}
+    only_new = spark.createDataFrame([(new_id,)], "incident_id string")
+    assert {r.day for r in _resolved_days(inc, only_new, start, False).collect()} == {new_day}
