@@ -2,7 +2,7 @@
 
 Every view is one projection over the whole input frame (narrow, no shuffle):
 the per-row Python of the reference becomes column expressions. Timelines
-expand each row into its events with ``inline`` over an array of structs; the
+expand each row into its events with ``posexplode`` over an array of structs; the
 cause-specific steps come from a literal map keyed by category, so there is no
 lookup join at all.
 """
