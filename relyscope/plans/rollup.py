@@ -20,9 +20,7 @@ partition overwrite), which is what the streaming refresher uses.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.filters import is_open, window_start
@@ -133,32 +131,83 @@ def workspace_rollup(rollup: DataFrame, as_of=None, days: int = 7) -> DataFrame:
             .orderBy(F.col("open").desc(), F.col("workspace_id").asc_nulls_first()))
 
 
-# The insights page's questions, with the window each one uses
-# (None = the page's chosen window).
-PAGE_QUESTIONS = (
-    ("incident_week_stats", week_stats, None),
-    ("overview_kpis", overview_kpis, None),
-    ("failures_by_category", failures_by_category, None),
-    ("failures_daily", failures_daily, DAILY_DAYS),
-    ("mttr_by_team", mttr_by_team, None),
-    ("workspace_rollup", workspace_rollup, None),
-)
+# The insights page's incident questions (output tags).
+Q_WEEK, Q_KPIS, Q_CATEGORY = "incident_week_stats", "overview_kpis", "failures_by_category"
+Q_DAILY, Q_TEAM, Q_WORKSPACE = "failures_daily", "mttr_by_team", "workspace_rollup"
+CATEGORY_TOP, TEAM_TOP = 8, 5
+_PAGE_KEYS = ("cause_category", "detected_date", "team_name", "workspace_id")
 
 
 def insights_answers(incidents: DataFrame, as_of=None, days: int = 7) -> DataFrame:
-    """All six incident questions of the insights page as one tagged result.
-
-    One rollup restricted to the widest window the page needs (pushed to the
-    scan), shared by every answer; the answers are unioned by name with a
-    ``question`` column, so the page is one job whose result is bounded by
-    the number of categories, days, teams and workspaces.
+    """All six incident questions of the insights page in one linear plan.
+
+    One scan restricted to the widest window the page needs, one daily
+    rollup, then one grouping-sets aggregate over it - (category), (date),
+    (team), (workspace) and the grand total - with window-conditional sums;
+    ranks for the two top-k answers come from one window per set (bounded
+    rows), and each row is tagged with its question (the total row answers
+    two). Every operator has a single consumer, so the incidents are read
+    and shuffled once. Result: one row per answer row, bounded by the number
+    of categories, days, teams and workspaces; columns as the six answers,
+    null where a question does not use them.
     """
     widest = max(int(days), DAILY_DAYS)
     roll = incident_daily_rollup(incidents.where(
         F.col("detected_at") >= window_start(as_of, widest)))
-    parts = [fn(roll, as_of=as_of, days=int(d or days)).select(F.lit(name).alias("question"), "*")
-             for name, fn, d in PAGE_QUESTIONS]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    cat = F.col("cause_category")
+
+    def s(c, d=days):
+        c = F.col(c) if isinstance(c, str) else c
+        return F.coalesce(F.sum(F.when(_in_window(as_of, d), c)), F.lit(0)).cast("bigint")
+
+    g = roll.groupingSets([[k] for k in _PAGE_KEYS] + [[]], *_PAGE_KEYS).agg(
+        *[F.grouping(k).alias(f"_g{i}") for i, k in enumerate(_PAGE_KEYS)],
+        s("n").alias("_n"), s("n_open").alias("_open"), s("n_open_high").alias("_high"),
+        s("n_auto").alias("_auto"), s("mttr_sum").alias("_msum"), s("mttr_n").alias("_mn"),
+        s(F.when(cat.isin(*FAILING_CATEGORIES), F.col("n_open"))).alias("_fail"),
+        s(F.when(cat == F.lit(STRESS_CATEGORY), F.col("n_open"))).alias("_stress"),
+        s("n", DAILY_DAYS).alias("_n14"))
+    is_cat, is_date, is_team, is_ws = [F.col(f"_g{i}") == 0 for i in range(4)]
+    is_tot = ~(is_cat | is_date | is_team | is_ws)
+    keep = (is_tot | (is_cat & (F.col("_n") > 0)) | (is_date & (F.col("_n14") > 0))
+            | (is_team & (F.col("_mn") > 0)) | (is_ws & (F.col("_n") > 0)))
+    hrs = F.round(F.col("_msum").cast("double") / F.col("_mn") / 60, 1)
+    set_id = (F.when(is_cat, 0).when(is_date, 1).when(is_team, 2).when(is_ws, 3)
+              .otherwise(4))
+    by_set = Window.partitionBy(set_id).orderBy(
+        F.when(is_cat, -F.col("_n").cast("double")).when(is_team, -hrs).asc_nulls_last(),
+        F.coalesce(cat, F.col("team_name")).asc_nulls_first())
+    uniq = F.sum(F.when(is_cat & cat.isNotNull(), 1).otherwise(0)).over(Window.partitionBy())
+    ranked = g.where(keep).select("*", F.row_number().over(by_set).alias("_rn"),
+                                  uniq.cast("bigint").alias("_uniq"))
+    top = ranked.where((~is_cat | (F.col("_rn") <= CATEGORY_TOP))
+                       & (~is_team | (F.col("_rn") <= TEAM_TOP)))
+    tags = (F.when(is_tot, F.array(F.lit(Q_WEEK), F.lit(Q_KPIS)))
+            .when(is_cat, F.array(F.lit(Q_CATEGORY))).when(is_date, F.array(F.lit(Q_DAILY)))
+            .when(is_team, F.array(F.lit(Q_TEAM))).otherwise(F.array(F.lit(Q_WORKSPACE))))
+    tagged = top.select(F.explode(tags).alias("question"), "*")
+    q = F.col("question")
+    mean = F.when(F.col("_mn") > 0, F.col("_msum").cast("double") / F.col("_mn"))
+    return tagged.select(
+        "question",
+        F.when(is_tot, F.col("_n")).alias("total"),
+        F.when(q == Q_WEEK, F.col("_open")).alias("open_count"),
+        F.when(is_tot, F.col("_auto")).alias("auto_resolved"),
+        F.when(q == Q_WEEK, F.col("_uniq")).alias("unique_categories"),
+        F.when(q == Q_KPIS, F.col("_open")).alias("active_issues"),
+        F.when(q == Q_KPIS, F.col("_fail")).alias("pipelines_failing"),
+        F.when(q == Q_KPIS, F.col("_stress")).alias("clusters_stress"),
+        F.when(q == Q_KPIS, F.coalesce(F.round(mean, 0), F.lit(0.0)).cast("bigint"))
+         .alias("mttr_min"),
+        "cause_category",
+        F.when(is_cat, F.col("_n")).when(is_date, F.col("_n14")).alias("cnt"),
+        "detected_date", "team_name",
+        F.when(is_team, hrs).alias("hrs"),
+        "workspace_id",
+        F.when(is_ws, F.col("_open")).alias("open"),
+        F.when(is_ws, F.col("_n") - F.col("_open")).alias("resolved"),
+        F.when(is_ws, F.col("_high")).alias("crit"),
+    )
 
 
 def write_rollup(rollup: DataFrame, path: str, mode: str = "errorifexists") -> str:
