@@ -7,6 +7,7 @@ as the Spark side (RE2 and Java read it alike).
 
 from __future__ import annotations
 
+from . import oracle
 from .functions.text import WS
 from .oracle import (
     FAILING_OPEN, HIGH_OPEN, SEV_HIGH, STRESS_OPEN, _cnt, _inc, _met, _w_inc, _w_met,
@@ -33,6 +34,13 @@ def clean(x: str) -> str:
             f"WHEN {s} = '' THEN '{DASH}' ELSE {s} END)")
 
 
+def _met_body(sql: str) -> str:
+    """A metric twin's query without its shared ``WITH metric_insights`` prefix."""
+    prefix = f"WITH {metrics_cte()}\n"
+    assert sql.startswith(prefix)
+    return sql[len(prefix):]
+
+
 def minute(x: str) -> str:
     return f"coalesce(strftime({x}, '%Y-%m-%d %H:%M'), '')"
 
@@ -256,7 +264,14 @@ def build() -> dict[str, str]:
     insights_answers = "\nUNION ALL BY NAME\n".join(
         f"SELECT '{q}' AS question, * FROM ({body}) t{i}"
         for i, (q, body) in enumerate(page_parts.items()))
+    met_sql = oracle.build()
+    met_parts = ["metric_kpis", "metric_count", "metric_categories", "metrics_by_category",
+                 "metrics_by_severity", "metrics_by_workspace"]
+    metrics_page = "\nUNION ALL BY NAME\n".join(
+        f"SELECT '{q}' AS question, * FROM ({_met_body(met_sql[q])}) t{i}"
+        for i, q in enumerate(met_parts))
     return {
+        "metrics_page_answers": _met(metrics_page),
         "insights_answers": _inc(insights_answers),
         "incident_daily_rollup": _inc(
             "SELECT CAST(detected_at AS DATE) AS day, detected_date, workspace_id, team_name, "

@@ -196,6 +196,7 @@ def build() -> dict[str, Query]:
         "failures_daily_from_rollup": _from_rollup(RU.failures_daily),
         "mttr_by_team_from_rollup": _from_rollup(RU.mttr_by_team, days=INC_LONG_DAYS),
         "workspace_rollup_from_rollup": _from_rollup(RU.workspace_rollup, days=INC_DAYS),
+        "metrics_page_answers": _met(M.metrics_page_answers, days=MET_DAYS),
         "insights_answers": lambda spark, sf_dir: RU.insights_answers(
             load_incidents(spark, sf_dir), as_of=INCIDENTS_AS_OF, days=INC_LONG_DAYS),
     })
