@@ -45,10 +45,25 @@ def _positive_mttr() -> Column:
 
 # ---- I1 ------------------------------------------------------------------
 
-def incident_list(incidents: DataFrame, team: str | None = None, limit: int = 50) -> DataFrame:
-    """Newest incidents, optionally of one team (app list endpoint)."""
+def incident_list(incidents: DataFrame, team: str | None = None, limit: int = 50,
+                  recent_days: int | None = None, as_of=None,
+                  date_partitioned: bool = False) -> DataFrame:
+    """Newest incidents, optionally of one team (app list endpoint).
+
+    The list has no time window, so on a large table the top-k reads every
+    row. With ``recent_days`` the top-k is first taken inside that window
+    (a pushed, prunable filter): if it already holds ``limit`` rows, every
+    older row ranks below all of them and the answer is exact; otherwise the
+    whole table is used. The probe costs one bounded count.
+    """
     cond = None if is_all(team) else (F.col("team_name") == F.lit(team))
-    return incidents.where(all_of([cond])).orderBy(*newest_first()).limit(int(limit))
+    rows = incidents.where(all_of([cond]))
+    if recent_days is not None:
+        recent = (rows.where(incident_window(as_of, recent_days, date_partitioned))
+                  .orderBy(*newest_first()).limit(int(limit)))
+        if recent.count() >= int(limit):
+            return recent
+    return rows.orderBy(*newest_first()).limit(int(limit))
 
 
 # ---- I2 ------------------------------------------------------------------

@@ -90,6 +90,18 @@ def test_pages_concatenate_to_sorted_list(spark):
     assert got == full and len(full) == 1000
 
 
+def test_incident_list_recent_probe_is_exact(spark):
+    inc = load_incidents(spark, SMALL)
+    full = [r.incident_id for r in I.incident_list(inc, limit=50).collect()]
+    for days in (1, 3, 40):  # too few rows in the window -> fallback; enough -> probe
+        got = [r.incident_id for r in I.incident_list(inc, limit=50, recent_days=days,
+                                                      as_of="2024-01-31").collect()]
+        assert got == full
+    team = [r.incident_id for r in I.incident_list(inc, team="team-3", limit=50).collect()]
+    assert [r.incident_id for r in I.incident_list(inc, team="team-3", limit=50, recent_days=7,
+                                                   as_of="2024-01-31").collect()] == team
+
+
 def test_keyset_page_follows_offset_page(spark):
     inc = load_incidents(spark, SMALL)
     first = I.incident_page(inc, as_of="2024-01-31", days=30, status="All", page_size=20).collect()
