@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.filters import is_open, since, window_start
+from ..functions.filters import is_open, since
 from ..functions.text import label
 from .incidents import count_if
 
