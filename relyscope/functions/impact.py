@@ -40,6 +40,8 @@ LEVEL_SENTENCE = {
 }
 DEFAULT_SENTENCE = "Pipeline failure detected."
 NOT_TEXT = (DASH, "None", "nan")
+# The fallback pattern for an object inside other text.
+OBJECT_FRAGMENT = r"\{[^}]+\}"
 
 
 ALL_KEYS = SLA_KEYS + SEVERITY_KEYS + MESSAGE_KEYS + AFFECTED_KEYS + REGION_KEYS + TEAM_KEYS
@@ -68,7 +70,7 @@ def _parse_raw(raw: Column) -> Column:
     the fragment when the text has a ``}`` at all. Rows that cannot parse
     never reach the parser, so no per-row parse errors are raised.
     """
-    frag = F.regexp_extract(raw, r"\{[^}]+\}", 0)
+    frag = F.regexp_extract(raw, OBJECT_FRAGMENT, 0)
     whole = F.when(raw.endswith("}"), F.try_parse_json(raw))
     return F.when(raw.startswith("{") & (F.instr(raw, "}") > 0), F.coalesce(
         whole, F.when(frag != F.lit(""), F.try_parse_json(frag))))

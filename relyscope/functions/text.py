@@ -18,6 +18,13 @@ WS = (r"[\t\n\x0b\x0c\r \x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
 WS_CHARS = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680"
             + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
+# The cleaning rule's brace patterns, in rule
+# order - a leading object with the whitespace after it, a trailing object
+# with the whitespace before it, and any object of at most 200 characters.
+LEADING_OBJECT = r"\A\{[^}]*\}" + WS + "*"
+TRAILING_OBJECT = WS + r"*\{[^}]*\}\z"
+SHORT_OBJECT = r"\{[^}]{0,200}\}"
+
 # Texts that count as missing, and the dash shown for them.
 MISSING_TEXTS = ("", "None", "nan", "NaT", "<NA>")
 DASH = "—"
@@ -30,9 +37,9 @@ def ws_strip(c: Column) -> Column:
 
 def _brace_rules(t: Column) -> Column:
     # Steps 2-4: leading object, trailing object, short interior objects.
-    s = F.regexp_replace(t, rf"\A\{{[^}}]*\}}{WS}*", "")
-    s = F.regexp_replace(s, rf"{WS}*\{{[^}}]*\}}\z", "")
-    return F.regexp_replace(s, r"\{[^}]{0,200}\}", "")
+    s = F.regexp_replace(t, LEADING_OBJECT, "")
+    s = F.regexp_replace(s, TRAILING_OBJECT, "")
+    return F.regexp_replace(s, SHORT_OBJECT, "")
 
 
 def _words(s: Column) -> Column:
