@@ -64,3 +64,17 @@ def test_reliability_summary_has_no_join(spark):
     p = plan(N.reliability_summary(load_incidents(spark, SMALL), load_metrics(spark, SMALL),
                                    as_of="2024-01-31", metrics_as_of="2001-11-05"))
     assert "Join" not in p and "Union" in p
+
+
+def _scans(df):
+    # The planned (pre-execution) physical plan: one FileScan per scan.
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_page_plans_scan_once(spark):
+    from relyscope.plans.rollup import insights_answers
+
+    inc = load_incidents(spark, SMALL)
+    assert _scans(insights_answers(inc, as_of="2024-01-31", days=7)) == 1
+    met = load_metrics(spark, SMALL)
+    assert _scans(M.metrics_page_answers(met, as_of="2001-11-05", days=90)) == 1
