@@ -339,6 +339,12 @@ def build() -> dict[str, str]:
         "metric_timeline": _metric_timeline(),
         "page_summary": _inc(page(
             f"SELECT COUNT(*) AS cnt FROM incidents WHERE {_w_inc(7)} AND resolved_at IS NULL", 20, 3)),
+        "status_page_summaries": _inc(
+            "SELECT 'Open only' AS status, * FROM (" + page(
+                f"SELECT COUNT(*) AS cnt FROM incidents WHERE {_w_inc(30)} AND resolved_at IS NULL",
+                20, 3) + ") a UNION ALL SELECT 'Resolved only' AS status, * FROM (" + page(
+                f"SELECT COUNT(*) AS cnt FROM incidents WHERE {_w_inc(30)} "
+                "AND resolved_at IS NOT NULL", 20, 1000) + ") b"),
         "metric_page_summary": _met(page(
             f"SELECT COUNT(*) AS cnt FROM metric_insights WHERE {_w_met(90)}", 50, 1000)),
         "category_share": _inc(_share_sql(

@@ -178,6 +178,8 @@ def build() -> dict[str, Query]:
         "metric_timeline": _over_met(D.metric_timeline),
         "page_summary": _then(q["incident_count"], P.page_summary, page_size=20, page=3),
         "metric_page_summary": _then(q["metric_count"], P.page_summary, page_size=50, page=1000),
+        "status_page_summaries": _inc(P.status_page_summaries, days=INC_LONG_DAYS, page_size=20,
+                                      open_page=3, resolved_page=1000),
         "category_share": _then(q["failures_by_category"], N.category_share),
         "metric_category_share": _then(q["metrics_by_category"], N.metric_category_share),
         "severity_share": _then(_met(M.severity_counts, days=MET_DAYS), N.severity_share),
