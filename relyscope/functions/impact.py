@@ -49,10 +49,6 @@ OUTPUTS = ("impact_level", "sla_at_risk", "impact_severity", "impact_desc")
 _P = "__bi_"  # helper-column prefix; helpers are indexed, never named by key case
 
 
-def _lit_map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-
-
 def parse_impact(impact: Column) -> Column:
     """Field map (``map<string,variant>``) of a non-empty JSON object in the
     impact text, else null. Single-expression form of the staged parse in
@@ -85,17 +81,32 @@ def _h(name: str) -> Column:
     return F.col(_P + name)
 
 
-def _truthy(i: int) -> Column:
-    j = _h(f"j{i}")
-    # Only number texts can be zero; casting just those raises no parse errors.
-    zero = F.when(F.substring(j, 1, 1).isin("-", "0"), j.try_cast("double") == F.lit(0.0))
-    return j.isNotNull() & ~j.isin(*FALSY_JSON) & ~F.coalesce(zero, F.lit(False))
+def _q(v: str) -> str:
+    """A SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sql_list(values) -> str:
+    return ", ".join(_q(v) for v in values)
+
 
+def _truthy_sql(i: int) -> str:
+    """Python truthiness of field ``i`` from its JSON text (SQL expression).
 
-def _first_truthy(keys) -> Column:
+    Only number texts can be zero, so only texts starting with ``-`` or ``0``
+    are cast; casting just those raises no parse errors.
+    """
+    j = f"{_P}j{i}"
+    return (f"({j} IS NOT NULL AND {j} NOT IN ({_sql_list(FALSY_JSON)}) AND NOT coalesce("
+            f"CASE WHEN substring({j}, 1, 1) IN ('-', '0') THEN try_cast({j} AS DOUBLE) = 0.0 END,"
+            f" false))")
+
+
+def _first_truthy_sql(keys) -> str:
     """Text of the first truthy field among ``keys`` (Python ``a or b``), else null."""
-    return F.coalesce(*[F.when(_truthy(ALL_KEYS.index(k)), _h(f"t{ALL_KEYS.index(k)}"))
-                        for k in keys])
+    return "coalesce(" + ", ".join(
+        f"CASE WHEN {_P}tr{ALL_KEYS.index(k)} THEN {_P}t{ALL_KEYS.index(k)} END"
+        for k in keys) + ")"
 
 
 def with_business_impact(df: DataFrame, level: Column, impact: Column, fix: Column,
@@ -129,47 +140,48 @@ def with_business_impact(df: DataFrame, level: Column, impact: Column, fix: Colu
     s3 = s2.select(*keep, _h("fc"), _h("cc"), _h("lvl0"), _h("raw"),
                    F.when(F.size(m0) > 0, m0).alias(_P + "m"))
     m = _h("m")
-    fields = []
-    for i, k in enumerate(ALL_KEYS):
-        fields.append(F.to_json(m[k]).alias(f"{_P}j{i}"))
-        fields.append(m[k].cast("string").alias(f"{_P}t{i}"))
+    # Field picks and truthiness as SQL expression lists: one parse per stage
+    # on the JVM instead of hundreds of client calls building Columns.
     s4 = s3.select("*", m.isNotNull().alias(_P + "parsed"))
-    s5 = s4.select("*", *fields)
-    s6 = s5.select(
-        *keep, _h("lvl0"), _h("raw"), _h("fc"), _h("cc"), _h("parsed"),
-        F.coalesce(_truthy(ALL_KEYS.index(SLA_KEYS[0])) | _truthy(ALL_KEYS.index(SLA_KEYS[1])),
-                   F.lit(False)).alias(_P + "sla"),
-        F.upper(F.coalesce(_first_truthy(SEVERITY_KEYS), F.lit(""))).alias(_P + "sev"),
-        _first_truthy(MESSAGE_KEYS).alias(_P + "msg"),
-        _first_truthy(AFFECTED_KEYS).alias(_P + "affected"),
-        _first_truthy(REGION_KEYS).alias(_P + "region"),
-        _first_truthy(TEAM_KEYS).alias(_P + "team"))
-    lvl0, raw, fc, cc, parsed = _h("lvl0"), _h("raw"), _h("fc"), _h("cc"), _h("parsed")
-    sla, sev, msg = _h("sla"), _h("sev"), _h("msg")
-    affected, region, team = _h("affected"), _h("region"), _h("team")
-
-    lvl = F.when(parsed & lvl0.isin(*VAGUE_LEVELS) & (sev != F.lit("")),
-                 F.coalesce(_lit_map(SEVERITY_LEVEL)[sev], lvl0)).otherwise(lvl0)
-    parts = F.concat_ws(
-        " ", msg,
-        F.when(affected.isNotNull(), F.concat(F.lit("Affected pipelines: "), affected, F.lit("."))),
-        F.when(region.isNotNull(), F.concat(F.lit("Region: "), region, F.lit("."))),
-        F.when(team.isNotNull(), F.concat(F.lit("Owning team: "), team, F.lit("."))),
-        F.when(sla & msg.isNull(), F.lit(SLA_SENTENCE)),
-    )
-    has_parts = msg.isNotNull() | affected.isNotNull() | region.isNotNull() | team.isNotNull() | sla
-    parsed_desc = (F.when(has_parts, parts)
-                   .when((fc != F.lit(DASH)) & (F.length(fc) > 20), fc)
-                   .when(cc != F.lit(DASH), cc)
-                   .otherwise(F.lit(REVIEW_SENTENCE)))
-    plain_desc = (F.when((raw != F.lit("")) & ~raw.isin(*NOT_TEXT) & ~raw.startswith("{"), raw)
-                  .when((fc != F.lit(DASH)) & (F.length(fc) > 20), fc)
-                  .when((cc != F.lit(DASH)) & (F.length(cc) > 15), cc)
-                  .otherwise(F.coalesce(_lit_map(LEVEL_SENTENCE)[lvl0], F.lit(DEFAULT_SENTENCE))))
-    return s6.select(
-        *keep,
-        F.when(parsed, lvl).otherwise(lvl0).alias("impact_level"),
-        (parsed & sla).alias("sla_at_risk"),
-        F.when(parsed, sev).otherwise(F.lit("")).alias("impact_severity"),
-        F.when(parsed, parsed_desc).otherwise(plain_desc).alias("impact_desc"),
+    s5 = s4.selectExpr("*", *[f"to_json({_P}m['{k}']) AS {_P}j{i}"
+                              for i, k in enumerate(ALL_KEYS)],
+                       *[f"CAST({_P}m['{k}'] AS STRING) AS {_P}t{i}"
+                         for i, k in enumerate(ALL_KEYS)])
+    s5b = s5.selectExpr("*", *[f"{_truthy_sql(i)} AS {_P}tr{i}" for i in range(len(ALL_KEYS))])
+    sla_sql = " OR ".join(f"{_P}tr{ALL_KEYS.index(k)}" for k in SLA_KEYS)
+    s6 = s5b.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[_P + c for c in ("lvl0", "raw", "fc", "cc", "parsed")],
+        f"coalesce({sla_sql}, false) AS {_P}sla",
+        f"upper(coalesce({_first_truthy_sql(SEVERITY_KEYS)}, '')) AS {_P}sev",
+        f"{_first_truthy_sql(MESSAGE_KEYS)} AS {_P}msg",
+        f"{_first_truthy_sql(AFFECTED_KEYS)} AS {_P}affected",
+        f"{_first_truthy_sql(REGION_KEYS)} AS {_P}region",
+        f"{_first_truthy_sql(TEAM_KEYS)} AS {_P}team")
+    P = _P
+    sev_map = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in SEVERITY_LEVEL.items())
+    level_sentence = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in LEVEL_SENTENCE.items())
+    lvl = (f"CASE WHEN {P}lvl0 IN ({_sql_list(VAGUE_LEVELS)}) AND {P}sev <> '' "
+           f"THEN coalesce(CASE {P}sev {sev_map} END, {P}lvl0) ELSE {P}lvl0 END")
+    parts = (f"concat_ws(' ', {P}msg, "
+             f"CASE WHEN {P}affected IS NOT NULL THEN concat('Affected pipelines: ', {P}affected, '.') END, "
+             f"CASE WHEN {P}region IS NOT NULL THEN concat('Region: ', {P}region, '.') END, "
+             f"CASE WHEN {P}team IS NOT NULL THEN concat('Owning team: ', {P}team, '.') END, "
+             f"CASE WHEN {P}sla AND {P}msg IS NULL THEN {_q(SLA_SENTENCE)} END)")
+    has_parts = (f"({P}msg IS NOT NULL OR {P}affected IS NOT NULL OR {P}region IS NOT NULL "
+                 f"OR {P}team IS NOT NULL OR {P}sla)")
+    long_fix = f"{P}fc <> {_q(DASH)} AND length({P}fc) > 20"
+    parsed_desc = (f"CASE WHEN {has_parts} THEN {parts} WHEN {long_fix} THEN {P}fc "
+                   f"WHEN {P}cc <> {_q(DASH)} THEN {P}cc ELSE {_q(REVIEW_SENTENCE)} END")
+    plain_desc = (f"CASE WHEN {P}raw <> '' AND {P}raw NOT IN ({_sql_list(NOT_TEXT)}) "
+                  f"AND NOT startswith({P}raw, {_q('{')}) THEN {P}raw "
+                  f"WHEN {long_fix} THEN {P}fc "
+                  f"WHEN {P}cc <> {_q(DASH)} AND length({P}cc) > 15 THEN {P}cc "
+                  f"ELSE coalesce(CASE {P}lvl0 {level_sentence} END, {_q(DEFAULT_SENTENCE)}) END")
+    return s6.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        f"CASE WHEN {P}parsed THEN {lvl} ELSE {P}lvl0 END AS impact_level",
+        f"({P}parsed AND {P}sla) AS sla_at_risk",
+        f"CASE WHEN {P}parsed THEN {P}sev ELSE '' END AS impact_severity",
+        f"CASE WHEN {P}parsed THEN {parsed_desc} ELSE {plain_desc} END AS impact_desc",
     )
