@@ -237,3 +237,14 @@ def test_metric_filters_case_rules(spark):
     assert M.metric_count(m, as_of="2001-11-05", days=1, severity="high").first().cnt == 2
     assert M.metric_count(m, as_of="2001-11-05", days=1, category="cat_1").first().cnt == 1
     assert M.metric_kpis(m, as_of="2001-11-05", days=1).first().high_sev == 2
+
+
+def test_status_page_summaries_agree_with_counts(spark):
+    inc = load_incidents(spark, SMALL)
+    rows = {r.status: r for r in P.status_page_summaries(
+        inc, as_of="2024-01-31", days=30, page_size=20, open_page=2, resolved_page=99).collect()}
+    o = I.incident_count(inc, as_of="2024-01-31", days=30, status="Open only").first().cnt
+    r = I.incident_count(inc, as_of="2024-01-31", days=30, status="Resolved only").first().cnt
+    a = I.incident_count(inc, as_of="2024-01-31", days=30, status="All").first().cnt
+    assert rows["Open only"].total == o and rows["Resolved only"].total == r and o + r == a
+    assert rows["Open only"].page == 2 and rows["Resolved only"].page == rows["Resolved only"].pages - 1
