@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import urls
+from . import mixing, urls
 
 QUERIES = {
     "op4_url_filter": urls.op4_url_filter,
+    "op8_mix_sources": mixing.op8_mix_sources,
 }
 
 ORACLES: dict[str, str] = {}
