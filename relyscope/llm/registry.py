@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, urls
+from . import mixing, quality, urls
 
 QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
     "op4_url_filter": urls.op4_url_filter,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
