@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, urls
+from . import mixing, packing, quality, sharding, topk, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op4_url_filter": urls.op4_url_filter,
+    "op6_pack_sequences": packing.op6_pack_sequences,
+    "op7_shards": sharding.op7_shards,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_exact_top_k": topk.op9_exact_top_k,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_exact_top_k": topk.OP9_SQL,
+}
