@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, quality, sharding, topk, toxicity, urls
+from . import jaccard, language, mixing, packing, quality, sharding, topk, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,8 +13,10 @@ QUERIES = {
     "op7_shards": sharding.op7_shards,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_exact_top_k": topk.op9_exact_top_k,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
     "op9_exact_top_k": topk.OP9_SQL,
+    "op10_jaccard_join": jaccard.OP10_SQL,
 }
