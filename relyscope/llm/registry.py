@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, sharding, topk, toxicity, urls
+from . import jaccard, language, linededup, mixing, packing, quality, sharding, topk, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_language_id": language.op2_language_id,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": urls.op4_url_filter,
+    "op5_line_dedup": linededup.op5_line_dedup,
     "op6_pack_sequences": packing.op6_pack_sequences,
     "op7_shards": sharding.op7_shards,
     "op8_mix_sources": mixing.op8_mix_sources,
