@@ -171,7 +171,11 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     return ranked.mapInArrow(lambda it: placed(it, table), f"{schema}, sequence_id long, offset long")
 
 
-def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def default_tokenizer() -> str:
     import public_tokenizers
 
-    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), default_tokenizer())
