@@ -167,7 +167,7 @@ def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame, *keep) -> DataFrame:
     """``key, source, size`` of every document, and the columns kept."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("key"), "source",
+    return docs.select(F.xxhash64("doc_id", "source", "text").alias("key"), "source",
                        F.size(words(F.col("text"))).cast("long").alias("size"), *keep)
 
 
@@ -179,7 +179,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it."""
-    plan = planned(stored(sized(docs), "sized"), weights, share)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return with_copies(sized(docs, row), plan).select(
-        "row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
+    rows = stored(sized(docs), "sized")
+    taken = stored(with_copies(rows.distinct(), planned(rows, weights, share)).select(
+        F.col("key").alias("_key"), F.col("copies").alias("_copies")), "copies").where("_copies > 0")
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "source", "text"))
+    mixed = keyed.join(taken.distinct(), F.col("_row_key") == F.col("_key"))
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -88,7 +88,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row, ``llr``: the log ratio by bucket (all 0 without trusted n-grams)."""
-    marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_trusted"), "left")
+    # labels grow with the corpus: one merge join at any size
+    marked = docs.select("doc_id", "text").join(trusted.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left")
     counts = marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), word_hashes(F.col("text")).alias("h")
                            ).select("t", F.explode(ngram_buckets(F.col("h"))).alias("b")).groupBy("b").agg(
         F.count("*").alias("raw"), F.sum("t").alias("target"))
@@ -121,5 +122,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return scored(docs, labels).where("kept").select(docs.columns)
+    """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
+
+    The verdicts are written before the filter: pushed down, it would repeat the
+    counts' expressions inside each other.
+    """
+    verdicts = scored(docs, labels).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("kept").alias("_kept"))
+    return stored(verdicts, "verdicts").where("_kept").drop("_kept")
