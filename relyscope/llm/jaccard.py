@@ -285,8 +285,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("_key"))
     keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
     wordless = F.size(words(F.col("text"))) == 0
-    return keyed.where(~wordless).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).union(
-        keyed.where(wordless)).drop("_key")
+    return keyed.where(~wordless).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).unionByName(
+        keyed.where(wordless)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 OP10_SQL = """

@@ -2,10 +2,12 @@
 (DataFrame functions only).
 
 Words and pairs of neighbouring words of every whole text are hashed into
-``BUCKETS`` buckets. Two add-one-smoothed multinomials over the buckets are
-counted from all documents: the trusted target (documents labelled quality 1)
-and the raw corpus. A document's score is the sum over its n-grams of
-log(p_target / p_raw), divided by their number. A document that passes the base
+``BUCKETS`` buckets, three quarters of them for words. Two multinomials over the
+buckets are counted from all documents: the trusted target (documents labelled
+quality 1) and the raw corpus, its counts scaled to the target's total. Both are
+smoothed by ``PRIOR`` more per bucket, so that buckets with little evidence say
+little. A document's score is the sum over its n-grams of log(p_target / p_raw),
+divided by their number. A document that passes the base
 rules is kept if its score reaches ``THRESHOLD``, a fixed loss a n-gram: the same
 document against the same counts always meets the same verdict.
 
@@ -25,6 +27,7 @@ from .common import SPACES, read, stored, words
 
 #: Size of the model, gathered as one row: two counts a bucket.
 BUCKETS = 1 << 16
+PRIOR = 10.0
 #: Natural-log units a n-gram. Clean text scores near 0 whether it is labelled or
 #: not; text that trusted documents lack loses far more.
 THRESHOLD = -0.1
@@ -40,10 +43,10 @@ def word_hashes(text: Column) -> Column:
 
 def ngram_buckets(h: Column) -> Column:
     """Buckets of the words and of the pairs of neighbours, from word hashes."""
-    bucket = lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")
-    pairs = F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))),
-                        lambda x, i: bucket(F.xxhash64(F.get(h, i), x)))
-    return F.concat(F.transform(h, bucket), pairs)
+    for_words = BUCKETS * 3 // 4
+    pairs = F.transform(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), lambda x, i: (
+        for_words + F.pmod(F.xxhash64(F.get(h, i), x), F.lit(BUCKETS - for_words))).cast("int"))
+    return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(for_words)).cast("int")), pairs)
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -97,8 +100,8 @@ def model(docs: DataFrame, trusted: DataFrame) -> DataFrame:
         "b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     one = dense.agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"),
                     F.sort_array(F.collect_list(F.struct("b", "raw", "target"))).alias("all"))
-    ratio = lambda x: F.log(((x["target"] + 1.0) / (F.col("n_target") + float(BUCKETS)))
-                            / ((x["raw"] + 1.0) / (F.col("n_raw") + float(BUCKETS))))
+    share = F.col("n_target") / F.col("n_raw")
+    ratio = lambda x: F.log((x["target"] + PRIOR) / (x["raw"] * share + PRIOR))
     return one.select(F.transform("all", lambda x: F.when(F.col("n_target") > 0, ratio(x)).otherwise(0.0).cast("float")).alias("llr"))
 
 
