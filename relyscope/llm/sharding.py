@@ -1,12 +1,12 @@
 """Sharding by Karmarkar-Karp differencing, law ``bytes``.
 
-Equal texts form a group that no shard boundary divides. Groups are dealt by hash
-into buckets of about ``BUCKET`` groups; a task a bucket runs multi-way
-differencing: the two partial partitions with the largest spread are combined,
-one's largest part with the other's smallest, until one partition is left. The
-buckets' partitions are then differenced in the same way, ``BUCKET`` at a time,
-level over level, until one remains. Its labels, followed down the levels, give
-every group its shard.
+Equal texts form a group that no shard boundary divides. A group heavier than
+1/``PARTS`` of an even shard is an item of its own; there are fewer than SHARDS *
+PARTS of those at any corpus size. All lighter groups are dealt by hash to SHARDS *
+PARTS items. Multi-way differencing then partitions the items: the two partial
+partitions with the largest spread are combined, one's largest part with the
+other's smallest, until one partition is left. Sizes, groups and items are Spark
+aggregates; only the items, whose number is bounded, are differenced in one place.
 
 Defined results: a null text has no bytes (size 16, crc32 0) and is one group,
 apart from the empty text; empty tables give an empty result; repeated rows are
@@ -30,7 +30,8 @@ by_value(__name__)
 
 SHARDS = 40
 OVERHEAD = 16
-BUCKET = 8_192
+#: Items an even shard is made of, at least.
+PARTS = 128
 
 
 def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,47 +64,21 @@ def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(labels[:n]), sums[-1]
 
 
-def bucket_partition(group: pa.Table, shards: int) -> pa.Table:
-    """Labels of a bucket's groups, and (key null) the bucket's sum by label."""
-    group = group.sort_by([("bytes", "descending"), ("key", "ascending")])
-    sizes = group.column("bytes").to_numpy()
-    parts = np.zeros((len(sizes), shards), np.int64)
-    parts[:, 0] = sizes
-    labels, sums = difference(parts)
-    bucket = group.column("node")[0].as_py()
-    return pa.table({
-        "node": pa.array([bucket] * (len(sizes) + shards), pa.int64()),
-        "key": pa.concat_arrays([group.column("key").combine_chunks(), pa.nulls(shards, group.schema.field("key").type)]),
-        "label": pa.array(np.concatenate([labels[:, 0], np.arange(shards)]).astype(np.int32)),
-        "bytes": pa.array(np.concatenate([sizes, sums]).astype(np.int64))})
-
-
-def level_partition(group: pa.Table, shards: int) -> pa.Table:
-    """Labels in the parent's partition of its children's parts."""
-    group = group.sort_by([("node", "ascending"), ("label", "ascending")])
-    parts = group.column("bytes").to_numpy().reshape(-1, shards)
-    labels, _ = difference(parts)
-    return group.append_column("up", pa.array(labels.ravel().astype(np.int32)))
-
-
 def group_shards(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``key, shard`` of ``groups`` (key, bytes)."""
-    n = groups.count()
-    nodes = max(1, -(-n // BUCKET))
-    dealt = groups.withColumn("node", F.pmod(F.xxhash64("key"), F.lit(nodes)))
-    first = stored(dealt.groupBy("node").applyInArrow(
-        lambda g: bucket_partition(g, shards), f"node long, key {groups.schema['key'].dataType.simpleString()}, label int, bytes long"), "kk")
-    placed = first.where("key is not null").select("key", "node", "label")
-    level = first.where("key is null").select("node", "label", "bytes")
-    while nodes > 1:
-        parents = -(-nodes // BUCKET)
-        up = stored(level.withColumn("parent", F.floor(F.col("node") / BUCKET)).groupBy("parent").applyInArrow(
-            lambda g: level_partition(g, shards), "node long, label int, bytes long, parent long, up int"), "kk")
-        placed = placed.join(up.select("node", "label", "parent", "up"), ["node", "label"]).select(
-            "key", F.col("parent").alias("node"), F.col("up").alias("label"))
-        level = up.groupBy(F.col("parent").alias("node"), F.col("up").alias("label")).agg(F.sum("bytes").alias("bytes"))
-        nodes = parents
-    return placed.select("key", F.col("label").alias("shard"))
+    spark, parts = groups.sparkSession, shards * PARTS
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    light = F.concat(F.lit("part "), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("string"))
+    dealt = groups.withColumn("item", F.when(F.col("bytes") * parts > total, F.col("key")).otherwise(light))
+    items = dealt.groupBy("item").agg(F.sum("bytes").alias("bytes")).toArrow().sort_by(
+        [("bytes", "descending"), ("item", "ascending")])  # fewer than 2 * parts rows
+    if not items.num_rows:
+        return dealt.select("key", F.lit(0).alias("shard"))
+    vectors = np.zeros((items.num_rows, shards), np.int64)
+    vectors[:, 0] = items.column("bytes").to_numpy()
+    labels, _ = difference(vectors)
+    placed = spark.createDataFrame(pa.table({"item": items.column("item"), "shard": pa.array(labels[:, 0].astype(np.int32))}))
+    return dealt.join(placed, "item").select("key", "shard")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

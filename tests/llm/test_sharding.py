@@ -10,7 +10,7 @@ from .helpers import docs, prose, vocabulary
 
 
 def test_groups_whole_sizes_even_slots_gapless(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "BUCKET", 16)  # several levels
+    monkeypatch.setattr(sharding, "PARTS", 16)  # heavy groups and shared items both occur
     rng = random.Random(7)
     v = vocabulary(14)
     rows = [(i, prose(rng, rng.randint(1, 60), v), "en", "s") for i in range(900)]
@@ -30,6 +30,16 @@ def test_groups_whole_sizes_even_slots_gapless(spark, monkeypatch):
     assert max(sums) - min(sums) <= 0.02 * np.mean(sums)
 
 
+def test_a_group_larger_than_a_shard_has_one_alone(spark):
+    rows = [(i, "same text " * 9, "en", "s") for i in range(50)] + [(100 + i, f"text number {i}", "en", "s") for i in range(200)]
+    got = sharding.shard_documents(docs(spark, rows), shards=8).collect()
+    shards = [[r for r in got if r.shard == k] for k in range(8)]
+    big = next(s for s in shards if any(r.doc_id < 100 for r in s))
+    assert len(big) == 50 and all(r.doc_id < 100 for r in big)
+    others = [sum(r.size for r in s) for s in shards if s is not big]
+    assert max(others) - min(others) <= 0.1 * np.mean(others)
+
+
 def test_differencing_against_all_partitions():
     rng = np.random.default_rng(2)
     for _ in range(20):
