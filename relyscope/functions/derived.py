@@ -33,8 +33,8 @@ def confidence_pct(conf="confidence") -> Column:
     """``int(confidence * 100)`` truncated; 0 when missing, NaN or infinite."""
     v = _c(conf).cast("double")
     bad = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
-    return F.when(bad, F.lit(0)).otherwise(
-        F.coalesce((v * 100).try_cast("int"), F.lit(0)))
+    return F.when(bad, F.lit(0).cast("bigint")).otherwise(
+        F.coalesce((v * 100).try_cast("bigint"), F.lit(0)))
 
 
 def auto_flag(auto="auto_resolved") -> Column:

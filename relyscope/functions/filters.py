@@ -66,11 +66,10 @@ def is_resolved() -> Column:
 
 
 def status_filter(status: str | None) -> Column | None:
-    """Open only / Resolved only; anything else adds no predicate."""
-    s = (status or "").strip().lower()
-    if s in ("open only", "open"):
+    """Exactly ``Open only`` / ``Resolved only``; anything else adds no predicate."""
+    if status == OPEN_ONLY:
         return is_open()
-    if s in ("resolved only", "resolved"):
+    if status == RESOLVED_ONLY:
         return is_resolved()
     return None
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import DASH, with_clean_texts, ws_strip
+from .text import DASH, plain_number, with_clean_texts, ws_strip
 
 # JSON texts of falsy field values.
 FALSY_JSON = ("false", "null", '""', "[]", "{}")
@@ -90,23 +90,32 @@ def _sql_list(values) -> str:
     return ", ".join(_q(v) for v in values)
 
 
-def _truthy_sql(i: int) -> str:
-    """Python truthiness of field ``i`` from its JSON text (SQL expression).
+def _truthy(v: Column) -> Column:
+    """Whether a field counts as given, from its JSON text: not false, null, empty or zero.
 
-    Only number texts can be zero, so only texts starting with ``-`` or ``0``
-    are cast; casting just those raises no parse errors.
+    Only texts starting with ``-`` or ``0`` can be zero, and only those are cast.
     """
-    j = f"{_P}j{i}"
-    return (f"({j} IS NOT NULL AND {j} NOT IN ({_sql_list(FALSY_JSON)}) AND NOT coalesce("
-            f"CASE WHEN substring({j}, 1, 1) IN ('-', '0') THEN try_cast({j} AS DOUBLE) = 0.0 END,"
-            f" false))")
+    j = F.to_json(v)
+    zero = F.when(F.substring(j, 1, 1).isin("-", "0"), j.try_cast("double") == 0.0)
+    return j.isNotNull() & ~j.isin(*FALSY_JSON) & ~F.coalesce(zero, F.lit(False))
 
 
-def _first_truthy_sql(keys) -> str:
-    """Text of the first truthy field among ``keys`` (Python ``a or b``), else null."""
-    return "coalesce(" + ", ".join(
-        f"CASE WHEN {_P}tr{ALL_KEYS.index(k)} THEN {_P}t{ALL_KEYS.index(k)} END"
-        for k in keys) + ")"
+def _field_text(v: Column) -> Column:
+    """Text of a field; numbers with a fraction or exponent keep one (``1.0``)."""
+    fractional = F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)")
+    return F.when(fractional, plain_number(F.try_variant_get(v, "$", "double"))).otherwise(
+        F.try_variant_get(v, "$", "string"))
+
+
+def _given_fields(m: Column) -> Column:
+    """``map<string,string>``: the known fields that are given, as text."""
+    given = F.map_filter(m, lambda k, v: k.isin(*ALL_KEYS) & _truthy(v))
+    return F.transform_values(given, lambda k, v: _field_text(v))
+
+
+def _first_sql(keys) -> str:
+    """Text of the first given field among ``keys``, else null."""
+    return "coalesce(" + ", ".join(f"{_P}t[{_q(k)}]" for k in keys) + ")"
 
 
 def with_business_impact(df: DataFrame, level: Column, impact: Column, fix: Column,
@@ -140,24 +149,17 @@ def with_business_impact(df: DataFrame, level: Column, impact: Column, fix: Colu
     s3 = s2.select(*keep, _h("fc"), _h("cc"), _h("lvl0"), _h("raw"),
                    F.when(F.size(m0) > 0, m0).alias(_P + "m"))
     m = _h("m")
-    # Field picks and truthiness as SQL expression lists: one parse per stage
-    # on the JVM instead of hundreds of client calls building Columns.
-    s4 = s3.select("*", m.isNotNull().alias(_P + "parsed"))
-    s5 = s4.selectExpr("*", *[f"to_json({_P}m['{k}']) AS {_P}j{i}"
-                              for i, k in enumerate(ALL_KEYS)],
-                       *[f"CAST({_P}m['{k}'] AS STRING) AS {_P}t{i}"
-                         for i, k in enumerate(ALL_KEYS)])
-    s5b = s5.selectExpr("*", *[f"{_truthy_sql(i)} AS {_P}tr{i}" for i in range(len(ALL_KEYS))])
-    sla_sql = " OR ".join(f"{_P}tr{ALL_KEYS.index(k)}" for k in SLA_KEYS)
-    s6 = s5b.selectExpr(
+    s4 = s3.select("*", m.isNotNull().alias(_P + "parsed"), _given_fields(m).alias(_P + "t"))
+    sla_sql = " OR ".join(f"map_contains_key({_P}t, {_q(k)})" for k in SLA_KEYS)
+    s6 = s4.selectExpr(
         *[f"`{c}`" for c in df.columns],
         *[_P + c for c in ("lvl0", "raw", "fc", "cc", "parsed")],
         f"coalesce({sla_sql}, false) AS {_P}sla",
-        f"upper(coalesce({_first_truthy_sql(SEVERITY_KEYS)}, '')) AS {_P}sev",
-        f"{_first_truthy_sql(MESSAGE_KEYS)} AS {_P}msg",
-        f"{_first_truthy_sql(AFFECTED_KEYS)} AS {_P}affected",
-        f"{_first_truthy_sql(REGION_KEYS)} AS {_P}region",
-        f"{_first_truthy_sql(TEAM_KEYS)} AS {_P}team")
+        f"upper(coalesce({_first_sql(SEVERITY_KEYS)}, '')) AS {_P}sev",
+        f"{_first_sql(MESSAGE_KEYS)} AS {_P}msg",
+        f"{_first_sql(AFFECTED_KEYS)} AS {_P}affected",
+        f"{_first_sql(REGION_KEYS)} AS {_P}region",
+        f"{_first_sql(TEAM_KEYS)} AS {_P}team")
     P = _P
     sev_map = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in SEVERITY_LEVEL.items())
     level_sentence = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in LEVEL_SENTENCE.items())

@@ -88,10 +88,40 @@ def clean_text(c: Column | str) -> Column:
             .otherwise(F.regexp_replace(joined, r"\A\z", DASH)))
 
 
+# Marks the start of a word that no blank precedes; not part of any label.
+_CUT = "\x01 "
+
+
 def label(c: Column | str) -> Column:
-    """``CLUSTER_FAILURE`` -> ``Cluster Failure``; null -> empty."""
+    """``CLUSTER_FAILURE`` -> ``Cluster Failure``, ``cat_3x`` -> ``Cat 3X``; null -> empty.
+
+    Underscores become blanks and every letter after a non-letter is a
+    capital: a mark before such letters lets ``initcap`` see them as words.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    spaced = F.replace(F.lower(c), F.lit("_"), F.lit(" "))
+    marked = F.regexp_replace(spaced, r"(?<=[^\p{L} ])(?=\p{L})", _CUT)
+    return F.coalesce(F.replace(F.initcap(marked), F.lit(_CUT), F.lit("")), F.lit(""))
+
+
+def plain_number(c: Column | str) -> Column:
+    """A double as text: its shortest digits, always with a fraction (``12345678.0``,
+    ``0.0005``), in plain notation for 1e-4 <= |x| < 1e16 and zero, else with an
+    exponent of two digits or more (``1e+16``, ``1.5e-05``); ``nan``, ``inf``."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.initcap(F.replace(F.lower(c), F.lit("_"), F.lit(" "))), F.lit(""))
+    x = c.cast("double")
+    s = x.cast("string")
+    digits = F.regexp_replace(s.try_cast("decimal(38,22)").cast("string"), r"(\.\d*?)0+$", "$1")
+    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+    mantissa = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", "")
+    power = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
+    exponent = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                        F.format_string("%02d", F.abs(power)))
+    size = F.abs(x)
+    return (F.when(F.isnan(x), F.lit("nan"))
+            .when(size == float("inf"), F.when(x < 0, F.lit("-inf")).otherwise(F.lit("inf")))
+            .when(~s.contains("E"), s)
+            .when((size >= 1e-4) & (size < 1e16), plain).otherwise(exponent))
 
 
 def minute_text(c: Column | str) -> Column:

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.derived import auto_flag, confidence_pct, incident_status, mttr_text
 from ..functions.impact import SEVERITY_LEVEL, with_business_impact
-from ..functions.text import DASH, minute_text, with_clean_texts, ws_strip
-from ..plans.parallelism import spread
+from ..functions.text import DASH, minute_text, plain_number, with_clean_texts, ws_strip
 
 # List-row cut of the cleaned root cause, and row actions.
 CAUSE_CUT = 55
@@ -63,11 +62,22 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
+def _number(c: str) -> Column:
+    return F.coalesce(plain_number(c), F.lit(""))
+
+
+# ---- S3 --------------------------------------------------------------------
+
+def filled_records(rows: DataFrame) -> DataFrame:
+    """S3: list records as text with blanks for nulls, as the list replies show them."""
+    shown = lambda f: plain_number(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name).cast("string")
+    return rows.select(*[F.coalesce(shown(f), F.lit("")).alias(f.name) for f in rows.schema])
+
+
 # ---- D8, D9 ----------------------------------------------------------------
 
 def incident_display(incidents: DataFrame) -> DataFrame:
     """List rows (pipeline, status, short cause, detected, action)."""
-    incidents = spread(incidents, "incident_id")
     resolved = F.col("resolved_at").isNotNull()
     return with_clean_texts(incidents, {"_cause": "root_cause"}).select(
         "incident_id",
@@ -88,7 +98,6 @@ def _incident_level_in(impact: Column) -> Column:
 
 def incident_detail(incidents: DataFrame) -> DataFrame:
     """One wide row per incident with every derived field of the detail page."""
-    incidents = spread(incidents, "incident_id")
     b = F.col("business_impact")
     texts = with_clean_texts(incidents, {"root_cause_text": "root_cause",
                                          "suggested_fix_text": "suggested_fix"})
@@ -131,7 +140,6 @@ def _cause_steps_map() -> Column:
 
 def incident_timeline(incidents: DataFrame) -> DataFrame:
     """Ordered events per incident ``(incident_id, seq, tone, event_time, time_text, event)``."""
-    incidents = spread(incidents, "incident_id")
     ts_type = incidents.schema["detected_at"].dataType
     det = F.col("detected_at")
     created, resolved_at = F.col("created_at").cast(ts_type), F.col("resolved_at").cast(ts_type)
@@ -158,12 +166,11 @@ def _step_from(s: Column, ts: Column) -> Column:
 # ---- D11, D12, D13 -----------------------------------------------------------
 
 def _value_text() -> Column:
-    return ws_strip(F.concat_ws(" ", _text("metric_value"), _text("metric_unit")))
+    return ws_strip(F.concat_ws(" ", _number("metric_value"), _text("metric_unit")))
 
 
 def metric_display(metrics: DataFrame) -> DataFrame:
     """List rows (metric, category, severity, value with unit, workspace, time)."""
-    metrics = spread(metrics, "insight_id")
     v = _value_text()
     return metrics.select(
         "insight_id", _text("metric_name").alias("metric_name"),
@@ -189,7 +196,7 @@ def _with_severity(metrics: DataFrame) -> DataFrame:
 
 def metric_detail(metrics: DataFrame) -> DataFrame:
     """One wide row per anomaly with the detail page's derived fields."""
-    metrics = _with_severity(spread(metrics, "insight_id"))
+    metrics = _with_severity(metrics)
     texts = with_clean_texts(metrics, {"suggested_fix_text": "suggested_fix"})
     staged = with_business_impact(texts, F.col("__lvl"), F.col("business_impact"),
                                   F.col("suggested_fix_text"), F.lit(DASH), cleaned=True)
@@ -197,7 +204,7 @@ def metric_detail(metrics: DataFrame) -> DataFrame:
     return staged.select(
         "insight_id", _text("metric_name").alias("metric_name"),
         F.col("__sev").alias("severity"), F.col("__lvl").alias("impact_level"),
-        _text("metric_value").alias("value_text"),
+        _number("metric_value").alias("value_text"),
         F.when(unit == F.lit(""), F.lit(NO_UNIT)).otherwise(unit).alias("unit_text"),
         _text("anomaly_type").alias("anomaly_type"),
         _text("metric_category").alias("metric_category"),
@@ -214,11 +221,11 @@ def metric_detail(metrics: DataFrame) -> DataFrame:
 
 def metric_timeline(metrics: DataFrame) -> DataFrame:
     """Events per anomaly, all at the anomaly's time."""
-    metrics = spread(metrics, "insight_id").select("*", _up("severity").alias("__sev"))
+    metrics = metrics.select("*", _up("severity").alias("__sev"))
     ts = F.col("timestamp")
     sev = F.col("__sev")
     kind = _text("anomaly_type")
-    recorded = _step("gray", ts, F.concat(F.lit(MTL_RECORDED), _text("metric_value"), F.lit(" "),
+    recorded = _step("gray", ts, F.concat(F.lit(MTL_RECORDED), _number("metric_value"), F.lit(" "),
                                           _text("metric_unit")))
     high = F.array(recorded,
                    _step("red", ts, F.concat(F.lit(MTL_DETECTED), kind)),

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from ..functions.filters import (
     all_of, incident_window, is_all, is_open, is_resolved, status_filter,
 )
-from ..plans.broadcast import maybe_broadcast
 from ..sources.schemas import INCIDENT_COLUMNS
 
 # Cause categories counted by the overview KPIs.
@@ -45,25 +44,10 @@ def _positive_mttr() -> Column:
 
 # ---- I1 ------------------------------------------------------------------
 
-def incident_list(incidents: DataFrame, team: str | None = None, limit: int = 50,
-                  recent_days: int | None = None, as_of=None,
-                  date_partitioned: bool = False) -> DataFrame:
-    """Newest incidents, optionally of one team (app list endpoint).
-
-    The list has no time window, so on a large table the top-k reads every
-    row. With ``recent_days`` the top-k is first taken inside that window
-    (a pushed, prunable filter): if it already holds ``limit`` rows, every
-    older row ranks below all of them and the answer is exact; otherwise the
-    whole table is used. The probe costs one bounded count.
-    """
+def incident_list(incidents: DataFrame, team: str | None = None, limit: int = 50) -> DataFrame:
+    """Newest incidents, optionally of one team (app list endpoint)."""
     cond = None if is_all(team) else (F.col("team_name") == F.lit(team))
-    rows = incidents.where(all_of([cond]))
-    if recent_days is not None:
-        recent = (rows.where(incident_window(as_of, recent_days, date_partitioned))
-                  .orderBy(*newest_first()).limit(int(limit)))
-        if recent.count() >= int(limit):
-            return recent
-    return rows.orderBy(*newest_first()).limit(int(limit))
+    return incidents.where(all_of([cond])).orderBy(*newest_first()).limit(int(limit))
 
 
 # ---- I2 ------------------------------------------------------------------
@@ -71,30 +55,23 @@ def incident_list(incidents: DataFrame, team: str | None = None, limit: int = 50
 def incident_lookup(incidents: DataFrame, ids) -> DataFrame:
     """One answer row per requested id, with a ``found`` flag.
 
-    ``ids`` is a frame with an ``incident_id`` column (or a list of strings).
-    A proven-small batch is broadcast and the incidents scan streams past it
-    with no shuffle; the matched set (no larger than the batch) is broadcast
-    back onto the ids so unknown ids come out with ``found = false`` (replacing the
-    reference's ``{"error": "not found"}`` reply). A large batch falls back to
-    one shuffle join.
+    ``ids`` is a frame with an ``incident_id`` column (or a list of strings);
+    unknown ids come out with ``found = false``. If an id occurs more than
+    once in the table, its newest row answers (ties: the largest row).
+
+    The request is a semi join on the incidents, so rows that nobody asked for
+    leave the plan first; the matched rows then meet the ids. No side is
+    hinted or counted: Spark chooses by the sizes it knows.
     """
     spark = incidents.sparkSession
     if not isinstance(ids, DataFrame):
         ids = spark.createDataFrame([(str(i),) for i in ids], "incident_id string")
     wanted = ids.select("incident_id").distinct()
     rest = [c for c in incidents.columns if c != "incident_id"]
-    marked = incidents.withColumn("_found", F.lit(True))
-    small, is_bc = maybe_broadcast(wanted, bounded_by=ids)
-    if is_bc:
-        # The matched rows number at most the proven-small batch (incident_id
-        # is the key), so they are broadcast back: no shuffle on either side.
-        matched = marked.join(small, "incident_id", "left_semi")
-        joined = wanted.join(F.broadcast(matched), "incident_id", "left")
-    else:
-        joined = wanted.join(marked, "incident_id", "left")
-    return joined.select(
-        "incident_id", F.coalesce(F.col("_found"), F.lit(False)).alias("found"), *rest
-    )
+    newest = F.max(F.struct("detected_at", *[c for c in rest if c != "detected_at"])).alias("_row")
+    matched = incidents.join(wanted, "incident_id", "left_semi").groupBy("incident_id").agg(newest)
+    return wanted.join(matched, "incident_id", "left").select(
+        "incident_id", F.col("_row").isNotNull().alias("found"), *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 # ---- I4 ------------------------------------------------------------------

@@ -117,65 +117,16 @@ def metrics_by_workspace(metrics: DataFrame, as_of=None, days: int = 7, limit: i
             .limit(int(limit)))
 
 
-# The metrics page's questions (output tags) and top-k sizes.
-Q_KPIS, Q_COUNT, Q_CATEGORIES = "metric_kpis", "metric_count", "metric_categories"
-Q_BY_CATEGORY, Q_BY_SEVERITY, Q_BY_WORKSPACE = (
-    "metrics_by_category", "metrics_by_severity", "metrics_by_workspace")
-CATEGORY_TOP, WORKSPACE_TOP = 10, 8
-
-
 def metrics_page_answers(metrics: DataFrame, as_of=None, days: int = 7) -> DataFrame:
-    """M1, M3 (no filters), M4, M5, M6 and M7 in one linear plan.
-
-    All share one window, so one pushed-down scan feeds one grouping-sets
-    aggregate over (category), (severity), (workspace) and the total. The
-    two exact distinct counts of M1 are the numbers of non-null category and
-    workspace groups, so no distinct aggregate is needed. Top-k ranks come
-    from one window per set over the bounded grouped rows; rows are tagged
-    with their question (the total row answers M1 and M3).
-    """
-    sev = _sev()
-    g = (metrics.where(metric_window(as_of, days))
-         .select("metric_category", "workspace_id", sev.alias("severity"))
-         .groupingSets([["metric_category"], ["severity"], ["workspace_id"], []],
-                       "metric_category", "severity", "workspace_id")
-         .agg(F.grouping("metric_category").alias("_g0"), F.grouping("severity").alias("_g1"),
-              F.grouping("workspace_id").alias("_g2"),
-              F.count(F.lit(1)).alias("_n"),
-              count_if(F.col("severity") == F.lit("HIGH")).alias("_high"),
-              count_if(F.col("severity") == F.lit("CRITICAL")).alias("_crit"),
-              count_if(F.col("severity") == F.lit("MEDIUM")).alias("_med")))
-    cat, ws = F.col("metric_category"), F.col("workspace_id")
-    is_cat, is_sev, is_ws = [F.col(f"_g{i}") == 0 for i in range(3)]
-    is_tot = ~(is_cat | is_sev | is_ws)
-    set_id = F.when(is_cat, 0).when(is_sev, 1).when(is_ws, 2).otherwise(3)
-    by_set = Window.partitionBy(set_id).orderBy(
-        F.col("_n").desc(), F.coalesce(cat, ws).asc_nulls_first())
-    whole = Window.partitionBy()
-    n_cats = F.sum(F.when(is_cat & cat.isNotNull(), 1).otherwise(0)).over(whole)
-    n_ws = F.sum(F.when(is_ws & ws.isNotNull(), 1).otherwise(0)).over(whole)
-    ranked = g.select("*", F.row_number().over(by_set).alias("_rn"),
-                      n_cats.cast("bigint").alias("_ncat"), n_ws.cast("bigint").alias("_nws"))
-    listed = is_cat & cat.isNotNull() & (cat != F.lit(""))
-    tags = F.filter(F.array(
-        F.when(is_tot, F.lit(Q_KPIS)), F.when(is_tot, F.lit(Q_COUNT)),
-        F.when(listed, F.lit(Q_CATEGORIES)),
-        F.when(is_cat & (F.col("_rn") <= CATEGORY_TOP), F.lit(Q_BY_CATEGORY)),
-        F.when(is_sev, F.lit(Q_BY_SEVERITY)),
-        F.when(is_ws & (F.col("_rn") <= WORKSPACE_TOP), F.lit(Q_BY_WORKSPACE))),
-        lambda t: t.isNotNull())
-    q = F.col("question")
-    return ranked.select(F.explode(tags).alias("question"), "*").select(
-        "question",
-        F.when(q == Q_KPIS, F.col("_n")).alias("total"),
-        F.when(q == Q_KPIS, F.col("_high")).alias("high_sev"),
-        F.when(q == Q_KPIS, F.col("_crit")).alias("critical_sev"),
-        F.when(q == Q_KPIS, F.col("_med")).alias("medium_sev"),
-        F.when(q == Q_KPIS, F.col("_nws")).alias("workspaces"),
-        F.when(q == Q_KPIS, F.col("_ncat")).alias("categories"),
-        "metric_category",
-        F.when(q.isin(Q_COUNT, Q_BY_CATEGORY, Q_BY_SEVERITY, Q_BY_WORKSPACE), F.col("_n"))
-         .alias("cnt"),
-        "severity", "workspace_id",
-        F.when(q == Q_BY_WORKSPACE, F.col("_high") + F.col("_crit")).alias("high_cnt"),
-    )
+    """M1, M3 (no filters), M4, M5, M6 and M7 in one frame, tagged by ``question``;
+    each part keeps its own pushed window and map-side aggregate."""
+    from ..plans.rollup import side_by_side
+
+    return side_by_side({
+        "metric_kpis": metric_kpis(metrics, as_of, days),
+        "metric_count": metric_count(metrics, as_of, days),
+        "metric_categories": metric_categories(metrics, as_of, days),
+        "metrics_by_category": metrics_by_category(metrics, as_of, days),
+        "metrics_by_severity": metrics_by_severity(metrics, as_of, days),
+        "metrics_by_workspace": metrics_by_workspace(metrics, as_of, days),
+    })

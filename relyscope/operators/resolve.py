@@ -4,10 +4,8 @@ The reference runs ``UPDATE incidents SET resolved_at = current_timestamp()``
 per id. Plain Parquet has no UPDATE, so the portable form is an overlay: the
 latest requested time per id (one partial aggregate of the request batch),
 left-joined onto the incidents and coalesced over the old value, written as a
-new snapshot. A proven-small request batch is broadcast so the incidents side
-streams through without a shuffle; a large batch falls back to one shuffle
-join on the unique key (no skew: ids are unique on both sides after the
-aggregate). ``mttr_minutes`` and ``auto_resolved`` are left as they are, as in
+new snapshot. The join is on the unique key (no skew: ids are unique on both
+sides after the aggregate) and Spark chooses its kind by the sizes it knows. ``mttr_minutes`` and ``auto_resolved`` are left as they are, as in
 the reference; an existing ``resolved_at`` is overwritten.
 """
 
@@ -17,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.broadcast import maybe_broadcast
 from ..sources.tables import write_snapshot
 
 
@@ -36,29 +33,32 @@ def latest_requests(incidents: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 def resolve_incidents(incidents: DataFrame, resolutions: DataFrame) -> DataFrame:
     """The incidents table with the requested resolutions applied."""
-    latest, _ = maybe_broadcast(latest_requests(incidents, resolutions), bounded_by=resolutions)
-    joined = incidents.join(latest, "incident_id", "left")
+    joined = incidents.join(latest_requests(incidents, resolutions), "incident_id", "left")
     cols = [F.coalesce(F.col("_new_resolved_at"), F.col("resolved_at")).alias("resolved_at")
             if c == "resolved_at" else F.col(c) for c in incidents.columns]
     return joined.select(*cols)
 
 
 def unmatched_resolutions(incidents: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """Requested ids that match no incident (the reference reports success anyway).
+    """Requested ids that match no incident (the reference reports success anyway)."""
+    wanted = resolutions.select("incident_id").distinct()
+    return wanted.join(incidents.select("incident_id"), "incident_id", "left_anti")
+
 
-    Small batch: the incidents id column streams past the broadcast batch
-    (semi join), and the small found set is anti-joined from the batch.
+def write_resolved_partitions(incidents: DataFrame, resolutions: DataFrame, path: str) -> str:
+    """Write the ``detected_date`` partitions that hold a requested incident, resolved.
+
+    ``path`` receives only those partitions (dynamic overwrite): a table kept
+    as one snapshot path per partition swaps them in, and every other partition
+    stays where it is. The path must not be the one ``incidents`` is read from.
     """
-    wanted = resolutions.select("incident_id").distinct()
-    small, is_bc = maybe_broadcast(wanted, bounded_by=resolutions)
-    ids = incidents.select("incident_id")
-    if is_bc:
-        found = ids.join(small, "incident_id", "left_semi")
-        return wanted.join(F.broadcast(found), "incident_id", "left_anti")
-    return wanted.join(ids, "incident_id", "left_anti")
+    latest = latest_requests(incidents, resolutions)
+    touched = incidents.join(latest, "incident_id", "left_semi").select("detected_date").distinct()
+    rows = incidents.join(touched, "detected_date", "left_semi").select(*incidents.columns)
+    return write_snapshot(resolve_incidents(rows, resolutions), path, ("detected_date",), mode="overwrite")
 
 
 def write_resolved_snapshot(incidents: DataFrame, resolutions: DataFrame, path: str,
                             partition_by: tuple[str, ...] = ("detected_date",)) -> str:
-    """Write the resolved table to a new directory (never over its own input)."""
+    """Write the whole resolved table to a new directory (never over its own input)."""
     return write_snapshot(resolve_incidents(incidents, resolutions), path, partition_by)

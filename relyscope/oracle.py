@@ -42,6 +42,8 @@ def _met(body: str) -> str:
     return f"WITH {metrics_cte()}\n{body}"
 
 
+# Metric keys that also run over the whole history.
+ALL_TIME = ("metric_kpis", "metric_count", "metrics_by_category", "metrics_by_severity", "metrics_by_workspace")
 FAILING_OPEN = "cause_category IN ('OOM', 'CLUSTER_FAILURE') AND resolved_at IS NULL"
 STRESS_OPEN = "cause_category = 'CLUSTER_FAILURE' AND resolved_at IS NULL"
 HIGH_OPEN = "business_impact = 'high' AND resolved_at IS NULL"
@@ -71,7 +73,7 @@ def build() -> dict[str, str]:
     resolved_cols = ", ".join(
         "COALESCE(l.new_resolved_at, i.resolved_at) AS resolved_at" if c.strip() == "resolved_at"
         else f"i.{c.strip()}" for c in INC_COLS.split(","))
-    return {
+    sql = {
         "incident_list": _inc(f"SELECT * FROM incidents {NEWEST} LIMIT 50"),
         "incident_list_team": _inc(
             f"SELECT * FROM incidents WHERE team_name = 'team-3' {NEWEST} LIMIT 50"),
@@ -162,3 +164,6 @@ def build() -> dict[str, str]:
             f"FROM metric_insights WHERE {_w_met(90)} GROUP BY workspace_id "
             "ORDER BY cnt DESC, workspace_id ASC NULLS FIRST LIMIT 8"),
     }
+    for name in ALL_TIME:
+        sql[f"{name}_all_time"] = sql[name].replace(_w_met(90), _w_met(3650))
+    return sql

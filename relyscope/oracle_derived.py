@@ -12,7 +12,7 @@ from .functions.text import WS
 from .oracle import (
     FAILING_OPEN, HIGH_OPEN, SEV_HIGH, STRESS_OPEN, _cnt, _inc, _met, _w_inc, _w_met,
 )
-from .sources.fixtures import incidents_cte, lookup_cte, metrics_cte
+from .sources.fixtures import RAW_IMPACT, RAW_TEXT, incidents_cte, lookup_cte, metrics_cte
 
 DASH = "—"
 OPEN_IS_ZERO = '"open" = 0'
@@ -56,7 +56,7 @@ def status(cat="cause_category", res="resolved_at") -> str:
 
 def conf_pct(x="confidence") -> str:
     return (f"CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN 0 "
-            f"ELSE coalesce(TRY_CAST(trunc({x} * 100) AS INTEGER), 0) END")
+            f"ELSE coalesce(TRY_CAST(trunc({x} * 100) AS BIGINT), 0) END")
 
 
 def auto_flag(x="auto_resolved") -> str:
@@ -76,9 +76,14 @@ def _truthy(k: str) -> str:
             f"AND coalesce(TRY_CAST(CAST({j} AS VARCHAR) AS DOUBLE) <> 0, true))")
 
 
+def _json_text(k: str) -> str:
+    plain = f"json_extract_string(v, '$.{k}')"
+    return f"CASE WHEN json_type(v, '$.{k}') = 'DOUBLE' THEN CAST(CAST({plain} AS DOUBLE) AS VARCHAR) ELSE {plain} END"
+
+
 def _first(*keys: str) -> str:
     return "coalesce(" + ", ".join(
-        f"CASE WHEN {_truthy(k)} THEN json_extract_string(v, '$.{k}') END" for k in keys) + ")"
+        f"CASE WHEN {_truthy(k)} THEN {_json_text(k)} END" for k in keys) + ")"
 
 
 def impact_ctes(src: str) -> str:
@@ -139,6 +144,7 @@ imp3 AS (
   FROM imp2b)"""
 
 
+# The timeline and level texts below equal those of the detail views.
 # ---- timelines -------------------------------------------------------------
 
 _CAUSE_STEPS = """cause_steps(cat, k, tone, event) AS (VALUES
@@ -209,9 +215,15 @@ def _share_sql(inner: str, key_cols: str, value: str) -> str:
 
 
 def _label(x: str) -> str:
-    words = f"string_split(lower(replace(coalesce({x}, ''), '_', ' ')), ' ')"
+    spaced = f"lower(replace(coalesce({x}, ''), '_', ' '))"
+    words = f"string_split(regexp_replace({spaced}, '([^\\p{{L}}])(\\p{{L}})', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
     return (f"array_to_string(list_transform({words}, lambda w: upper(substring(w, 1, 1)) || "
-            f"substring(w, 2)), ' ')")
+            f"substring(w, 2)), '')")
+
+
+def _filled(sql: str, columns: str) -> str:
+    cols = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in columns.split(", "))
+    return f"SELECT {cols} FROM ({sql}) filled_rows"
 
 
 def build() -> dict[str, str]:
@@ -281,6 +293,18 @@ def build() -> dict[str, str]:
             f"AS mttr_sum, {_cnt('mttr_minutes > 0')} AS mttr_n FROM incidents "
             "GROUP BY CAST(detected_at AS DATE), detected_date, workspace_id, team_name, "
             "cause_category"),
+        "incidents_scan": _inc(f"SELECT {oracle.INC_COLS} FROM incidents"),
+        "metrics_scan": _met(f"SELECT {oracle.MET_COLS} FROM metric_insights"),
+        "incident_list_filled": _filled(met_sql["incident_list"], oracle.INC_COLS),
+        "incident_page_filled": _filled(met_sql["incident_page"], oracle.INC_COLS),
+        "recent_open_filled": _filled(met_sql["recent_open"], oracle.INC_COLS),
+        "metric_page_filled": _filled(met_sql["metric_page"], oracle.MET_COLS),
+        "clean_text_documents": f"SELECT doc_id, {clean('raw')} AS clean FROM (SELECT doc_id, {RAW_TEXT} AS raw FROM documents) r",
+        "business_impact_documents": (
+            f"WITH src AS (SELECT doc_id, lower(lang) AS level, {RAW_IMPACT} AS impact, "
+            f"CASE WHEN doc_id % 3 = 0 THEN text END AS fix, {RAW_TEXT} AS cause FROM documents),\n"
+            + impact_ctes("src") + "\nSELECT doc_id, impact_level, sla_at_risk, impact_severity, impact_desc FROM imp3"),
+        **{f"{name}_all_time": met_sql[f"{name}_all_time"] for name in oracle.ALL_TIME},
         "incident_resolve_unmatched": _inc(
             "SELECT DISTINCT incident_id FROM lookup_ids "
             "WHERE incident_id NOT IN (SELECT incident_id FROM incidents)", lookup_cte()),

@@ -3,44 +3,40 @@
 The insights page asks six questions of ``incidents`` (I4, I5, I9, I10, I11,
 I12); the reference scans the table once per question. Here one aggregate by
 ``(day, detected_date, workspace_id, team_name, cause_category)`` keeps the
-counts every one of them needs, and each answer is a tiny second aggregate
-over it. The rollup's size is days x groups, independent of the number of
-incidents, and it is built with partial aggregation (map-side combine), so a
-hot workspace or category never concentrates raw rows in one task.
+counts every one of them needs, and each answer is a small second aggregate
+over the days of its window. The rollup's size is days x groups, independent of
+the number of incidents, and it is built with partial aggregation, so a hot
+workspace or category never concentrates raw rows in one task.
 
 Exactness: the R1 window cuts at midnight, so ``detected_at >= as_of - n``
 is the same as ``day >= as_of - n`` with ``day = to_date(detected_at)``;
 MTTR is an integer, so ``sum / count`` of the positive minutes reproduces
 ``avg`` exactly.
 
-The rollup can be materialised (``write_rollup``) partitioned by ``day``;
-``refresh_days`` rewrites only the days whose incidents changed (dynamic
-partition overwrite), which is what the streaming refresher uses.
+``write_rollup`` stores it partitioned by ``day``; every answer filters ``day``
+first, so over a stored rollup it reads the partitions of its window only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.filters import is_open, window_start
-from ..operators.incidents import (
-    DAILY_DAYS, FAILING_CATEGORIES, STRESS_CATEGORY, count_if,
-)
+from ..functions.filters import incident_window, is_open, window_start
+from ..operators import incidents as I
+from ..operators.incidents import DAILY_DAYS, FAILING_CATEGORIES, STRESS_CATEGORY, count_if
 
 ROLLUP_KEYS = ("day", "detected_date", "workspace_id", "team_name", "cause_category")
 MEASURES = ("n", "n_open", "n_open_high", "n_auto", "mttr_sum", "mttr_n")
 
 
-def incident_daily_rollup(incidents: DataFrame, since_day=None) -> DataFrame:
+def incident_daily_rollup(incidents: DataFrame, as_of=None, days: int | None = None) -> DataFrame:
     """One row per (day, detected_date, workspace, team, category) with counts.
 
-    ``since_day`` (a date) limits the rollup to recent days; the bound is a
+    ``days`` limits the rollup to the window before ``as_of``; the bound is a
     plain predicate on ``detected_at`` and reaches the scan.
     """
-    src = incidents
-    if since_day is not None:
-        src = src.where(F.col("detected_at") >= F.lit(since_day).cast("date"))
+    src = incidents if days is None else incidents.where(incident_window(as_of, days))
     mttr = F.col("mttr_minutes")
     positive = mttr.isNotNull() & (mttr > 0)
     return src.groupBy(F.to_date("detected_at").alias("day"), "detected_date", "workspace_id",
@@ -54,20 +50,12 @@ def incident_daily_rollup(incidents: DataFrame, since_day=None) -> DataFrame:
     )
 
 
-def _in_window(as_of, days: int) -> Column:
-    return F.col("day") >= window_start(as_of, days)
+def _window(rollup: DataFrame, as_of, days: int) -> DataFrame:
+    return rollup.where(F.col("day") >= window_start(as_of, days))
 
 
-# The answers below select their window with conditional sums rather than a
-# filter: a filter on ``day`` would be pushed below the rollup aggregate and
-# make every answer's rollup subplan different. With conditional sums all
-# answers share one identical rollup subplan, so ``insights_answers`` scans
-# and shuffles the incidents once for the whole page. Groups with nothing in
-# the window are dropped after aggregating, as a filter would have done.
-
-def _wsum(c: str | Column, as_of, days: int) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(F.sum(F.when(_in_window(as_of, days), c)), F.lit(0)).cast("bigint")
+def _total(c: str | Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
 
 
 def _mean(sum_col: Column, n_col: Column) -> Column:
@@ -76,45 +64,39 @@ def _mean(sum_col: Column, n_col: Column) -> Column:
 
 def week_stats(rollup: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     """I4 from the rollup."""
-    in_w = _in_window(as_of, days) & (F.col("n") > 0)
-    return rollup.agg(
-        _wsum("n", as_of, days).alias("total"), _wsum("n_open", as_of, days).alias("open_count"),
-        _wsum("n_auto", as_of, days).alias("auto_resolved"),
-        F.count_distinct(F.when(in_w, F.col("cause_category"))).alias("unique_categories"))
+    return _window(rollup, as_of, days).agg(
+        _total("n").alias("total"), _total("n_open").alias("open_count"), _total("n_auto").alias("auto_resolved"),
+        F.count_distinct("cause_category").alias("unique_categories"))
 
 
 def overview_kpis(rollup: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     """I5 from the rollup."""
     cat = F.col("cause_category")
-    mean = _mean(_wsum("mttr_sum", as_of, days), _wsum("mttr_n", as_of, days))
-    return rollup.agg(
-        _wsum("n_open", as_of, days).alias("active_issues"),
-        _wsum(F.when(cat.isin(*FAILING_CATEGORIES), F.col("n_open")), as_of, days)
-        .alias("pipelines_failing"),
-        _wsum(F.when(cat == F.lit(STRESS_CATEGORY), F.col("n_open")), as_of, days)
-        .alias("clusters_stress"),
-        F.coalesce(F.round(mean, 0), F.lit(0.0)).cast("bigint").alias("mttr_min"),
-        _wsum("n", as_of, days).alias("total"), _wsum("n_auto", as_of, days).alias("auto_resolved"))
+    return _window(rollup, as_of, days).agg(
+        _total("n_open").alias("active_issues"),
+        _total(F.when(cat.isin(*FAILING_CATEGORIES), F.col("n_open"))).alias("pipelines_failing"),
+        _total(F.when(cat == F.lit(STRESS_CATEGORY), F.col("n_open"))).alias("clusters_stress"),
+        F.coalesce(F.round(_mean(_total("mttr_sum"), _total("mttr_n")), 0), F.lit(0.0)).cast("bigint").alias("mttr_min"),
+        _total("n").alias("total"), _total("n_auto").alias("auto_resolved"))
 
 
 def failures_by_category(rollup: DataFrame, as_of=None, days: int = 7, limit: int = 8) -> DataFrame:
     """I9 from the rollup."""
-    return (rollup.groupBy("cause_category").agg(_wsum("n", as_of, days).alias("cnt"))
-            .where(F.col("cnt") > 0)
+    return (_window(rollup, as_of, days).groupBy("cause_category").agg(_total("n").alias("cnt"))
             .orderBy(F.col("cnt").desc(), F.col("cause_category").asc_nulls_first())
             .limit(int(limit)))
 
 
 def failures_daily(rollup: DataFrame, as_of=None, days: int = DAILY_DAYS) -> DataFrame:
     """I10 from the rollup (window on the detection day, groups on detected_date)."""
-    return (rollup.groupBy("detected_date").agg(_wsum("n", as_of, days).alias("cnt"))
-            .where(F.col("cnt") > 0).orderBy(F.col("detected_date").asc_nulls_first()))
+    return (_window(rollup, as_of, days).groupBy("detected_date").agg(_total("n").alias("cnt"))
+            .orderBy(F.col("detected_date").asc_nulls_first()))
 
 
 def mttr_by_team(rollup: DataFrame, as_of=None, days: int = 7, limit: int = 5) -> DataFrame:
     """I11 from the rollup; teams without a positive MTTR drop out, as in I11."""
-    return (rollup.groupBy("team_name").agg(
-                _wsum("mttr_sum", as_of, days).alias("_s"), _wsum("mttr_n", as_of, days).alias("_n"))
+    return (_window(rollup, as_of, days).groupBy("team_name").agg(
+                _total("mttr_sum").alias("_s"), _total("mttr_n").alias("_n"))
             .where(F.col("_n") > 0)
             .select("team_name", F.round(_mean(F.col("_s"), F.col("_n")) / 60, 1).alias("hrs"))
             .orderBy(F.col("hrs").desc_nulls_last(), F.col("team_name").asc_nulls_first())
@@ -123,116 +105,42 @@ def mttr_by_team(rollup: DataFrame, as_of=None, days: int = 7, limit: int = 5) -
 
 def workspace_rollup(rollup: DataFrame, as_of=None, days: int = 7) -> DataFrame:
     """I12 from the rollup."""
-    return (rollup.groupBy("workspace_id").agg(
-                _wsum("n", as_of, days).alias("_n"), _wsum("n_open", as_of, days).alias("open"),
-                _wsum("n_open_high", as_of, days).alias("crit"))
-            .where(F.col("_n") > 0)
+    return (_window(rollup, as_of, days).groupBy("workspace_id").agg(
+                _total("n").alias("_n"), _total("n_open").alias("open"), _total("n_open_high").alias("crit"))
             .select("workspace_id", "open", (F.col("_n") - F.col("open")).alias("resolved"), "crit")
             .orderBy(F.col("open").desc(), F.col("workspace_id").asc_nulls_first()))
 
 
-# The insights page's incident questions (output tags).
-Q_WEEK, Q_KPIS, Q_CATEGORY = "incident_week_stats", "overview_kpis", "failures_by_category"
-Q_DAILY, Q_TEAM, Q_WORKSPACE = "failures_daily", "mttr_by_team", "workspace_rollup"
-CATEGORY_TOP, TEAM_TOP = 8, 5
-_PAGE_KEYS = ("cause_category", "detected_date", "team_name", "workspace_id")
-
-
 def insights_answers(incidents: DataFrame, as_of=None, days: int = 7) -> DataFrame:
-    """All six incident questions of the insights page in one linear plan.
-
-    One scan restricted to the widest window the page needs, one daily
-    rollup, then one grouping-sets aggregate over it - (category), (date),
-    (team), (workspace) and the grand total - with window-conditional sums;
-    ranks for the two top-k answers come from one window per set (bounded
-    rows), and each row is tagged with its question (the total row answers
-    two). Every operator has a single consumer, so the incidents are read
-    and shuffled once. Result: one row per answer row, bounded by the number
-    of categories, days, teams and workspaces; columns as the six answers,
-    null where a question does not use them.
-    """
-    widest = max(int(days), DAILY_DAYS)
-    roll = incident_daily_rollup(incidents.where(
-        F.col("detected_at") >= window_start(as_of, widest)))
-    cat = F.col("cause_category")
+    """All six incident questions of the insights page in one frame.
 
-    def s(c, d=days):
-        c = F.col(c) if isinstance(c, str) else c
-        return F.coalesce(F.sum(F.when(_in_window(as_of, d), c)), F.lit(0)).cast("bigint")
-
-    g = roll.groupingSets([[k] for k in _PAGE_KEYS] + [[]], *_PAGE_KEYS).agg(
-        *[F.grouping(k).alias(f"_g{i}") for i, k in enumerate(_PAGE_KEYS)],
-        s("n").alias("_n"), s("n_open").alias("_open"), s("n_open_high").alias("_high"),
-        s("n_auto").alias("_auto"), s("mttr_sum").alias("_msum"), s("mttr_n").alias("_mn"),
-        s(F.when(cat.isin(*FAILING_CATEGORIES), F.col("n_open"))).alias("_fail"),
-        s(F.when(cat == F.lit(STRESS_CATEGORY), F.col("n_open"))).alias("_stress"),
-        s("n", DAILY_DAYS).alias("_n14"))
-    is_cat, is_date, is_team, is_ws = [F.col(f"_g{i}") == 0 for i in range(4)]
-    is_tot = ~(is_cat | is_date | is_team | is_ws)
-    keep = (is_tot | (is_cat & (F.col("_n") > 0)) | (is_date & (F.col("_n14") > 0))
-            | (is_team & (F.col("_mn") > 0)) | (is_ws & (F.col("_n") > 0)))
-    hrs = F.round(F.col("_msum").cast("double") / F.col("_mn") / 60, 1)
-    set_id = (F.when(is_cat, 0).when(is_date, 1).when(is_team, 2).when(is_ws, 3)
-              .otherwise(4))
-    by_set = Window.partitionBy(set_id).orderBy(
-        F.when(is_cat, -F.col("_n").cast("double")).when(is_team, -hrs).asc_nulls_last(),
-        F.coalesce(cat, F.col("team_name")).asc_nulls_first())
-    uniq = F.sum(F.when(is_cat & cat.isNotNull(), 1).otherwise(0)).over(Window.partitionBy())
-    ranked = g.where(keep).select("*", F.row_number().over(by_set).alias("_rn"),
-                                  uniq.cast("bigint").alias("_uniq"))
-    top = ranked.where((~is_cat | (F.col("_rn") <= CATEGORY_TOP))
-                       & (~is_team | (F.col("_rn") <= TEAM_TOP)))
-    tags = (F.when(is_tot, F.array(F.lit(Q_WEEK), F.lit(Q_KPIS)))
-            .when(is_cat, F.array(F.lit(Q_CATEGORY))).when(is_date, F.array(F.lit(Q_DAILY)))
-            .when(is_team, F.array(F.lit(Q_TEAM))).otherwise(F.array(F.lit(Q_WORKSPACE))))
-    tagged = top.select(F.explode(tags).alias("question"), "*")
-    q = F.col("question")
-    mean = F.when(F.col("_mn") > 0, F.col("_msum").cast("double") / F.col("_mn"))
-    return tagged.select(
-        "question",
-        F.when(is_tot, F.col("_n")).alias("total"),
-        F.when(q == Q_WEEK, F.col("_open")).alias("open_count"),
-        F.when(is_tot, F.col("_auto")).alias("auto_resolved"),
-        F.when(q == Q_WEEK, F.col("_uniq")).alias("unique_categories"),
-        F.when(q == Q_KPIS, F.col("_open")).alias("active_issues"),
-        F.when(q == Q_KPIS, F.col("_fail")).alias("pipelines_failing"),
-        F.when(q == Q_KPIS, F.col("_stress")).alias("clusters_stress"),
-        F.when(q == Q_KPIS, F.coalesce(F.round(mean, 0), F.lit(0.0)).cast("bigint"))
-         .alias("mttr_min"),
-        "cause_category",
-        F.when(is_cat, F.col("_n")).when(is_date, F.col("_n14")).alias("cnt"),
-        "detected_date", "team_name",
-        F.when(is_team, hrs).alias("hrs"),
-        "workspace_id",
-        F.when(is_ws, F.col("_open")).alias("open"),
-        F.when(is_ws, F.col("_n") - F.col("_open")).alias("resolved"),
-        F.when(is_ws, F.col("_high")).alias("crit"),
-    )
+    The direct operators side by side, each row tagged with its question; a
+    column that a question does not use is null. Each part keeps its own pushed
+    window, map-side aggregate and top-k, and no part ranks or counts all groups
+    in one task.
+    """
+    parts = {
+        "incident_week_stats": I.incident_week_stats(incidents, as_of, days),
+        "overview_kpis": I.overview_kpis(incidents, as_of, days),
+        "failures_by_category": I.failures_by_category(incidents, as_of, days),
+        "failures_daily": I.failures_daily(incidents, as_of),
+        "mttr_by_team": I.mttr_by_team(incidents, as_of, days),
+        "workspace_rollup": I.workspace_rollup(incidents, as_of, days),
+    }
+    return side_by_side(parts)
+
+
+def side_by_side(parts: dict[str, DataFrame]) -> DataFrame:
+    """The parts' rows with a ``question`` column, by column name."""
+    frames = [df.select(F.lit(name).alias("question"), "*") for name, df in parts.items()]
+    whole = frames[0]
+    for f in frames[1:]:
+        whole = whole.unionByName(f, allowMissingColumns=True)
+    return whole
 
 
 def write_rollup(rollup: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """Materialise the rollup, partitioned by ``day`` (cuts lineage for readers)."""
-    rollup.write.mode(mode).partitionBy("day").parquet(path)
+    """Store the rollup, partitioned by ``day``, one file a day (a day's rollup rows
+    number workspaces x teams x categories)."""
+    rollup.repartition("day").write.mode(mode).partitionBy("day").parquet(path)
     return path
-
-
-def refresh_days(incidents: DataFrame, changed_days: DataFrame, path: str,
-                 date_partitioned: bool = False) -> None:
-    """Recompute and overwrite only the rollup days listed in ``changed_days``.
-
-    ``changed_days`` has a ``day`` column; distinct days are bounded by the
-    calendar, so broadcasting them is safe. The incidents scan is restricted
-    by a semi join on the detection day; with ``date_partitioned=True`` (the
-    caller asserts ``detected_date = to_date(detected_at)``) a second semi
-    join on ``detected_date`` lets Spark prune a date-partitioned table
-    dynamically. Only the written ``day`` partitions are replaced (dynamic
-    partition overwrite); other days keep their files.
-    """
-    days = F.broadcast(changed_days.select("day").distinct())
-    touched = incidents.join(days, F.to_date(incidents["detected_at"]) == days["day"], "left_semi")
-    if date_partitioned:
-        touched = touched.join(days.withColumnRenamed("day", "detected_date"),
-                               "detected_date", "left_semi")
-    fresh = incident_daily_rollup(touched)
-    (fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("day").parquet(path))

@@ -22,10 +22,11 @@ from .operators import insights as N
 from .operators import metrics as M
 from .operators import paging as P
 from .operators import resolve as R
+from .operators.detail import filled_records
 from .plans import rollup as RU
-from .plans.parallelism import spread
+from .sources.schemas import INCIDENT_COLUMNS, METRIC_COLUMNS, check_incidents, check_metrics
 from .sources.fixtures import (
-    INCIDENTS_AS_OF, METRICS_AS_OF, load_incidents, load_lookup_ids, load_metrics,
+    INCIDENTS_AS_OF, METRICS_AS_OF, RAW_IMPACT, RAW_TEXT, load_incidents, load_lookup_ids, load_metrics,
     resolutions_from_incidents,
 )
 
@@ -35,6 +36,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 INC_DAYS = 7
 INC_LONG_DAYS = 30
 MET_DAYS = 90
+ALL_DAYS = 3650
 
 
 def _inc(fn, **kw) -> Query:
@@ -60,12 +62,11 @@ def _incident_lookup(spark, sf_dir):
 
 
 def _over_inc(view) -> Query:
-    # Per-row views over the whole table: CPU per row, so spread the scan.
-    return lambda spark, sf_dir: view(load_incidents(spark, sf_dir, spread_rows=True))
+    return lambda spark, sf_dir: view(load_incidents(spark, sf_dir))
 
 
 def _over_met(view) -> Query:
-    return lambda spark, sf_dir: view(load_metrics(spark, sf_dir, spread_rows=True))
+    return lambda spark, sf_dir: view(load_metrics(spark, sf_dir))
 
 
 def _then(query: Query, view, **kw) -> Query:
@@ -81,16 +82,12 @@ def _resolve_unmatched(spark, sf_dir):
     return R.unmatched_resolutions(load_incidents(spark, sf_dir), load_lookup_ids(spark, sf_dir))
 
 
-def _spread_inc(inc):
-    return spread(inc, "incident_id")
-
-
 def _status_view(inc):
     return inc.select("incident_id", incident_status().alias("status"))
 
 
 def _clean_view(inc):
-    return with_clean_texts(_spread_inc(inc), {"root_cause_text": "root_cause",
+    return with_clean_texts(inc, {"root_cause_text": "root_cause",
                                   "suggested_fix_text": "suggested_fix"}).select(
         "incident_id", "root_cause_text", "suggested_fix_text")
 
@@ -98,7 +95,7 @@ def _clean_view(inc):
 def _impact_view(inc):
     # The reference's own call: the lower-cased impact text is the level.
     b = F.col("business_impact")
-    staged = with_business_impact(_spread_inc(inc), ws_strip(F.lower(b)), b, F.col("suggested_fix"),
+    staged = with_business_impact(inc, ws_strip(F.lower(b)), b, F.col("suggested_fix"),
                                   F.col("root_cause"))
     return staged.select("incident_id", *OUTPUTS)
 
@@ -113,8 +110,25 @@ def _rollup(spark, sf_dir):
     return RU.incident_daily_rollup(load_incidents(spark, sf_dir))
 
 
-def _from_rollup(fn, **kw) -> Query:
-    return lambda spark, sf_dir: fn(_rollup(spark, sf_dir), as_of=INCIDENTS_AS_OF, **kw)
+def _from_rollup(fn, days: int) -> Query:
+    """An answer over the rollup of its window (the bound reaches the scan)."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rollup = RU.incident_daily_rollup(load_incidents(spark, sf_dir), INCIDENTS_AS_OF, days)
+        return fn(rollup, as_of=INCIDENTS_AS_OF, days=days)
+    return run
+
+
+def _clean_documents(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", f"{RAW_TEXT} AS raw")
+    return with_clean_texts(rows, {"clean": "raw"}).select("doc_id", "clean")
+
+
+def _impact_documents(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(
+        "doc_id", "lower(lang) AS level", f"{RAW_IMPACT} AS impact",
+        "CASE WHEN doc_id % 3 = 0 THEN text END AS fix", f"{RAW_TEXT} AS cause")
+    return with_business_impact(rows, F.col("level"), F.col("impact"), F.col("fix"), F.col("cause")).select(
+        "doc_id", *OUTPUTS)
 
 
 # Rollup-derived answers: same keys' oracle SQL as the direct operators.
@@ -188,13 +202,29 @@ def build() -> dict[str, Query]:
         "workspace_health": _then(q["workspace_rollup"], N.workspace_health),
         "workspace_health_summary": _then(q["workspace_rollup"], N.workspace_health_summary),
         "reliability_summary": _reliability,
+        # schema-checked scans, blank-filled records
+        "incidents_scan": lambda spark, sf_dir: check_incidents(load_incidents(spark, sf_dir)).select(*INCIDENT_COLUMNS),
+        "metrics_scan": lambda spark, sf_dir: check_metrics(load_metrics(spark, sf_dir)).select(*METRIC_COLUMNS),
+        "incident_list_filled": _then(q["incident_list"], filled_records),
+        "incident_page_filled": _then(q["incident_page"], filled_records),
+        "recent_open_filled": _then(q["recent_open"], filled_records),
+        "metric_page_filled": _then(q["metric_page"], filled_records),
+        # the text rules over whole documents
+        "clean_text_documents": _clean_documents,
+        "business_impact_documents": _impact_documents,
+        # whole metric history
+        "metric_kpis_all_time": _met(M.metric_kpis, days=ALL_DAYS),
+        "metric_count_all_time": _met(M.metric_count, days=ALL_DAYS),
+        "metrics_by_category_all_time": _met(M.metrics_by_category, days=ALL_DAYS),
+        "metrics_by_severity_all_time": _met(M.metrics_by_severity, days=ALL_DAYS),
+        "metrics_by_workspace_all_time": _met(M.metrics_by_workspace, days=ALL_DAYS),
         # shared daily rollup and the insights answers read from it
         "incident_daily_rollup": _rollup,
         "incident_week_stats_from_rollup": _from_rollup(RU.week_stats, days=INC_DAYS),
         "overview_kpis_from_rollup": _from_rollup(RU.overview_kpis, days=INC_DAYS),
         "failures_by_category_from_rollup": _from_rollup(RU.failures_by_category,
                                                          days=INC_LONG_DAYS),
-        "failures_daily_from_rollup": _from_rollup(RU.failures_daily),
+        "failures_daily_from_rollup": _from_rollup(RU.failures_daily, days=RU.DAILY_DAYS),
         "mttr_by_team_from_rollup": _from_rollup(RU.mttr_by_team, days=INC_LONG_DAYS),
         "workspace_rollup_from_rollup": _from_rollup(RU.workspace_rollup, days=INC_DAYS),
         "metrics_page_answers": _met(M.metrics_page_answers, days=MET_DAYS),

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.parallelism import spread
-
 # The fixture definitions of FIXTURES.md, one expression per
 # output column, in output order.
 INCIDENT_EXPRS: tuple[str, ...] = (
@@ -55,7 +53,10 @@ METRIC_EXPRS: tuple[str, ...] = (
     """CASE WHEN l_partkey % 31 = 0 THEN NULL
        ELSE concat('cat_', CAST(l_partkey % 13 AS STRING)) END AS metric_category""",
     "concat('metric_', CAST(l_linenumber AS STRING)) AS metric_name",
-    "l_quantity AS metric_value",
+    """CASE l_partkey % 11 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(0.0005 AS DOUBLE)
+       WHEN 2 THEN CAST(12345678 AS DOUBLE) WHEN 3 THEN CAST(10000000000000000 AS DOUBLE)
+       WHEN 4 THEN CAST(l_quantity AS DOUBLE) / 1000000 WHEN 5 THEN -CAST(l_quantity AS DOUBLE) / 8
+       ELSE CAST(l_quantity AS DOUBLE) END AS metric_value""",
     "CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN '%' ELSE 'GB' END AS metric_unit",
     """CASE WHEN l_orderkey % 41 = 0 THEN NULL
        ELSE CASE l_orderkey % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'High' WHEN 2 THEN 'MEDIUM'
@@ -69,6 +70,31 @@ METRIC_EXPRS: tuple[str, ...] = (
     "l_shipdate AS timestamp",
 )
 
+# Raw texts over ``documents`` for the text rules: objects before, after and inside
+# whole texts, interior objects over 200 characters, stars, Unicode spaces.
+RAW_TEXT = """CASE doc_id % 7
+    WHEN 0 THEN concat('{"trace": ', CAST(n_chars AS STRING), '} ', text)
+    WHEN 1 THEN concat(text, ' {"lag": 9}')
+    WHEN 2 THEN concat('**', text, '**  {x} tail ', CAST(doc_id AS STRING))
+    WHEN 3 THEN concat('\u3000\u00a0', text, '\u2003', lang, '\u2028')
+    WHEN 4 THEN concat('a {', text, '} z {short} ', CAST(doc_id AS STRING))
+    ELSE text END"""
+# Impact texts over ``documents``: every field in both spellings, true and false
+# values, numbers with a fraction or exponent, lists, nested and broken objects.
+RAW_IMPACT = """CASE doc_id % 13
+    WHEN 0 THEN concat('{"SLA_AT_RISK": true, "SEVERITY": "HIGH", "MESSAGE": "Load ', CAST(doc_id AS STRING), ' late"}')
+    WHEN 1 THEN concat('{"sla_at_risk": 1, "severity": "critical", "team": "', source, '"}')
+    WHEN 2 THEN concat('{"REGION": ', CAST(n_chars AS STRING), '.50, "TEAM": 1.0, "affected_pipelines": 1e3}')
+    WHEN 3 THEN concat('{"AFFECTED_PIPELINES": "p', CAST(doc_id AS STRING), '", "region": 0.0, "team": 0}')
+    WHEN 4 THEN concat('{"message": "", "DESCRIPTION": "doc ', CAST(doc_id AS STRING), '", "SEVERITY": "low"}')
+    WHEN 5 THEN concat('{"description": "d', CAST(doc_id AS STRING), '", "sla_at_risk": false, "REGION": 12345678.0}')
+    WHEN 6 THEN concat('free text ', CAST(doc_id AS STRING), ' {"a": 1}')
+    WHEN 7 THEN concat('{"SEVERITY": "medium", "x": [1, 2]} trailing ', CAST(doc_id AS STRING))
+    WHEN 8 THEN concat('{broken ', CAST(doc_id AS STRING))
+    WHEN 9 THEN '{"TEAM": [], "MESSAGE": {}, "severity": null, "REGION": ["eu"]}'
+    WHEN 10 THEN concat('  {"MESSAGE": "m ', CAST(doc_id AS STRING), '", "x": {"y": 1}}  ')
+    WHEN 11 THEN concat('{"TEAM": -0.25, "REGION": ', CAST(doc_id AS STRING), '}') END"""
+
 # Reporting dates the fixtures are built around (FIXTURES.md).
 INCIDENTS_AS_OF = "2024-01-31"
 METRICS_AS_OF = "2001-11-05"
@@ -101,21 +127,12 @@ def metrics_from_lineitem(lineitem: DataFrame) -> DataFrame:
     return lineitem.selectExpr(*METRIC_EXPRS)
 
 
-def load_incidents(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
-    """Incidents view; ``spread_rows`` spreads the raw rows over the cores first
-    (for CPU-heavy per-row views; a no-op on an already split source)."""
-    events = _read(spark, sf_dir, "events")
-    if spread_rows:
-        events = spread(events, "event_id")
-    return incidents_from_events(events)
+def load_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents_from_events(_read(spark, sf_dir, "events"))
 
 
-def load_metrics(spark: SparkSession, sf_dir: str, spread_rows: bool = False) -> DataFrame:
-    """Metric view; ``spread_rows`` as in :func:`load_incidents`."""
-    lineitem = _read(spark, sf_dir, "lineitem")
-    if spread_rows:
-        lineitem = spread(lineitem, "l_orderkey", "l_linenumber")
-    return metrics_from_lineitem(lineitem)
+def load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics_from_lineitem(_read(spark, sf_dir, "lineitem"))
 
 
 def resolutions_from_incidents(incidents: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ Parquet reader (``PushedFilters``) and reads only the columns each one uses.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .schemas import INCIDENT_COLUMNS, METRIC_COLUMNS, check_incidents, check_metrics
 
@@ -30,15 +31,23 @@ def read_metrics(spark: SparkSession, source: str, fmt: str = "parquet") -> Data
 
 
 def write_snapshot(df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
-                   mode: str = "errorifexists") -> str:
+                   mode: str = "errorifexists", files_per_value: int = 8) -> str:
     """Write a result or a new table snapshot as Parquet.
 
     Default mode refuses to overwrite: a snapshot must go to a new directory,
     never onto the path it was computed from (Spark would read and delete the
     same files). Partitioning by ``detected_date`` keeps later window scans
-    prunable.
+    prunable. Rows are dealt by the partition columns and a salt of
+    ``files_per_value`` first, so a partition gets that many files and not one
+    from every task, and a hot day is shared by as many tasks.
     """
-    w = df.write.mode(mode)
+    w = df
+    if partition_by:
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_value))
+        w = df.repartition(*partition_by, salt)
+    w = w.write.mode(mode)
+    if mode == "overwrite":
+        w = w.option("partitionOverwriteMode", "dynamic")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
