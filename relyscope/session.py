@@ -20,17 +20,12 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Local mode runs every task inside the driver JVM: give it real memory.
     "spark.driver.memory": "4g",
-    # Let the JIT compile large generated methods (wide per-row views chain
-    # many projections into one method). On a cluster set the same flag in
-    # spark.executor.extraJavaOptions.
-    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 
 # Settings for a large cluster (pass to spark-submit or the session builder).
 # AQE picks the post-shuffle partition count from the data (the initial
-# count only has to be high enough for the largest shuffle: the resolve and
-# lookup fallbacks); skewed shuffle partitions are split at runtime; file
+# count only has to be high enough for the largest shuffle); skewed shuffle partitions are split at runtime; file
 # splits stay near one row group so scans spread over all executors.
 CLUSTER_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -41,7 +36,6 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
-    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
 }
 
 

@@ -13,7 +13,7 @@ from relyscope.operators import metrics as M
 from relyscope.operators import paging as P
 from relyscope.operators import resolve as R
 from relyscope.functions.derived import auto_flag, confidence_pct, incident_status, mttr_text
-from relyscope.sources.fixtures import load_incidents
+from relyscope.sources.fixtures import load_incidents, load_metrics
 from relyscope.sources.schemas import INCIDENT_COLUMNS
 
 from .conftest import SMALL
@@ -90,18 +90,6 @@ def test_pages_concatenate_to_sorted_list(spark):
     assert got == full and len(full) == 1000
 
 
-def test_incident_list_recent_probe_is_exact(spark):
-    inc = load_incidents(spark, SMALL)
-    full = [r.incident_id for r in I.incident_list(inc, limit=50).collect()]
-    for days in (1, 3, 40):  # too few rows in the window -> fallback; enough -> probe
-        got = [r.incident_id for r in I.incident_list(inc, limit=50, recent_days=days,
-                                                      as_of="2024-01-31").collect()]
-        assert got == full
-    team = [r.incident_id for r in I.incident_list(inc, team="team-3", limit=50).collect()]
-    assert [r.incident_id for r in I.incident_list(inc, team="team-3", limit=50, recent_days=7,
-                                                   as_of="2024-01-31").collect()] == team
-
-
 def test_keyset_page_follows_offset_page(spark):
     inc = load_incidents(spark, SMALL)
     first = I.incident_page(inc, as_of="2024-01-31", days=30, status="All", page_size=20).collect()
@@ -216,12 +204,31 @@ def test_lookup_list_and_large_batch(spark):
     inc = frame(spark, [inc_row(1, at), inc_row(2, at)])
     got = {r.incident_id: r.found for r in I.incident_lookup(inc, ["INC-1", "INC-7"]).collect()}
     assert got == {"INC-1": True, "INC-7": False}
-    spark.conf.set("relyscope.broadcast.maxRows", "1")  # force the shuffle-join path
-    try:
-        got = {r.incident_id: r.found for r in I.incident_lookup(inc, ["INC-1", "INC-7"]).collect()}
-    finally:
-        spark.conf.unset("relyscope.broadcast.maxRows")
-    assert got == {"INC-1": True, "INC-7": False}
+    assert I.incident_lookup(inc, []).count() == 0
+
+
+def test_lookup_of_a_repeated_id_answers_with_its_newest_row(spark):
+    old, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 30)
+    inc = frame(spark, [inc_row(1, old), inc_row(1, new), inc_row(2, old)])
+    rows = I.incident_lookup(inc, ["INC-1"]).collect()
+    assert [(r.incident_id, r.detected_at) for r in rows] == [("INC-1", new)]
+
+
+def test_resolved_partitions_hold_touched_days_only(spark, tmp_out):
+    days = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    inc = frame(spark, [inc_row(i, at) for i, at in enumerate(days + days)])
+    req = spark.createDataFrame([("INC-1", dt.datetime(2024, 2, 1))], "incident_id string, resolved_at timestamp_ntz")
+    path = R.write_resolved_partitions(inc, req, os.path.join(tmp_out, "days"))
+    back = spark.read.parquet(path)
+    assert {r.incident_id for r in back.collect()} == {"INC-1", "INC-4"}
+    assert back.where("incident_id = 'INC-1'").first().resolved_at == dt.datetime(2024, 2, 1)
+
+
+def test_display_order_of_workspaces_and_severities(spark):
+    ws = I.workspace_rollup(load_incidents(spark, SMALL), as_of="2024-01-31", days=30).collect()
+    assert [(-r.open, r.workspace_id) for r in ws] == sorted((-r.open, r.workspace_id) for r in ws)
+    sev = M.metrics_by_severity(load_metrics(spark, SMALL), as_of="2001-11-05", days=3650).collect()
+    assert [-r.cnt for r in sev] == sorted(-r.cnt for r in sev) and len(sev) > 3
 
 
 def test_metric_filters_case_rules(spark):
