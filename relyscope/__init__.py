@@ -2,9 +2,8 @@
 
 Modules: ``sources`` (scans, schemas, test fixtures), ``functions`` (column
 expressions), ``operators`` (DataFrame -> DataFrame operators), ``plans``
-(broadcast checks, parallelism, shared rollup), ``streaming`` (rollup
-refresher), ``registry`` / ``oracle`` (registered queries and their DuckDB
-twins).
+(daily rollup, page answers), ``registry`` / ``oracle`` (registered queries and
+their DuckDB twins).
 """
 
 __version__ = "0.1.0"

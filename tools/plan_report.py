@@ -1,4 +1,5 @@
-"""Write PLANS.md: the physical-plan skeleton of every registered query.
+"""Write PLANS.md: the physical-plan skeleton of the library's registered queries
+(the training-data queries run jobs of their own while they are built).
 
 For each query: the operators that decide cost at scale (exchanges, joins,
 aggregates, top-k, windows, expands) and what reaches the Parquet scan
@@ -43,7 +44,7 @@ def skeleton(plan: str) -> list[str]:
 
 def main(argv):
     sf_dir = argv[0] if argv else "/root/testdata/sf0.1"
-    import __spark_entry__ as E
+    from relyscope import registry
     from relyscope.session import local_session
 
     spark = local_session()
@@ -51,7 +52,7 @@ def main(argv):
     print(f"Physical plans of the registered queries (built on `{sf_dir}`, local[8], not "
           "executed), cut to the operators that matter at scale. Generated by "
           "`python tools/plan_report.py`.\n")
-    for name, fn in E.queries().items():
+    for name, fn in registry.build().items():
         plan = fn(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         print(f"## {name}\n\n```")
         print("\n".join(skeleton(plan)))
