@@ -88,7 +88,7 @@ def tilts(sizes: DataFrame, goal: DataFrame) -> DataFrame:
         low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - gap / F.greatest(F.col("slope"), F.lit(1e-300))
-        stepped = moved.withColumns({"low": low, "high": high, "newton": newton, "error": F.abs(gap) / F.col("target")})
+        stepped = moved.withColumns({"low": low, "high": high, "newton": newton, "error": F.abs(gap) / F.greatest(F.col("target"), F.lit(1e-9))})
         kept = F.when((F.col("newton") > F.col("low")) & (F.col("newton") < F.col("high")), F.col("newton")
                       ).otherwise((F.col("low") + F.col("high")) / 2)
         done = ~F.col("open") | (F.col("error") <= TOLERANCE)

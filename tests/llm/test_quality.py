@@ -38,9 +38,9 @@ def counts(text):
 
 def sample():
     rng = random.Random(1)
-    clean, junk = vocabulary(1), [w.upper() + "!!" for w in vocabulary(2, 60)]
+    clean, junk = vocabulary(1), [w.upper() + "!!" for w in vocabulary(2, 12)]
     rows = [(i, prose(rng, rng.randint(25, 80), clean), "en", "a") for i in range(30)]
-    rows += [(100 + i, prose(rng, 60, junk), "en", "a") for i in range(10)]
+    rows += [(100 + i, prose(rng, 60, junk), "en", "a") for i in range(25)]
     rows += [(200, None, None, None), (201, "", "en", "a"), (202, " \t\n\x0b ", "en", "a"), (203, "one", "en", "a"),
              (204, "a b c d e f g h i " * 5, "en", "b"), (205, "x\ny\nx\n\nx #|<é>", "en", "b"),
              (206, "p q r s t u v w " * 3000, "en", "b"), (0, rows[0][1], "en", "a"), (None, rows[1][1], "en", "a")]
@@ -69,7 +69,7 @@ def test_counts_score_and_verdict(spark):
         failed = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
         assert r.base_failed == failed and r.kept == (not failed and r.score >= quality.THRESHOLD)
     kept = {r.doc_id for r in got if r.kept}
-    assert set(range(30)) <= kept and not kept & set(range(100, 110))
+    assert set(range(30)) <= kept and not kept & set(range(100, 125))
 
 
 def test_no_labels_and_no_documents(spark):
@@ -77,5 +77,5 @@ def test_no_labels_and_no_documents(spark):
     rows, _ = sample()
     kept = quality.good_documents(docs(spark, rows), labels)
     assert kept.columns == docs(spark, rows).columns
-    assert {r.doc_id for r in kept.collect()} >= {*range(30), *range(100, 110)}
+    assert {r.doc_id for r in kept.collect()} >= {*range(30), *range(100, 125)}
     assert quality.good_documents(docs(spark, []), labels).count() == 0
