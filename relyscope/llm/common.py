@@ -53,8 +53,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words of the whole text, in order; null and blank texts have none."""
-    plain = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
 def ascii_lower(text: Column) -> Column:

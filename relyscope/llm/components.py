@@ -18,22 +18,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     folder; a hub's edges are combined before the shuffle and its join can be
     split, so no node's neighbours meet in one task.
     """
-    both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state = stored(both, name)
+    both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    state = stored(both.distinct(), name)
     before = None
     while True:
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
         near = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.col("c")).alias("m"))
-        large = near.where("v > u").join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), name)
+        large = near.where("v > u").join(least, F.col("u") == F.col("c")).select(
+            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select(F.col("c").alias("u"), F.col("m").alias("v")))
         state = stored(small.where("u <> v").distinct(), name)
+        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
     roots = state.select(F.col("v").alias("node")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         roots.select("node", F.col("node").alias("root")))
