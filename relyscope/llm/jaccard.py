@@ -13,8 +13,8 @@ one node. Then:
    (token, group). Joined with itself it gives the overlap of every two groups
    that share a token; no pair of members can link unless that overlap reaches a
    bound from the groups' smallest and largest sets.
-4. Opening. Only groups above the bound are opened: their members' pairs of
-   fitting sizes are verified exactly, over the whole texts.
+4. Opening. Only groups above the bound are opened, block by block, and their
+   members compared exactly, over the whole texts, until one link is found.
 
 Components of all verified links are exact: steps 2 to 4 lose no link between
 different groups, and links within a group change nothing.
@@ -202,12 +202,20 @@ def forest(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def verified(batches):
-    """Pairs whose sets link."""
+def bridges(batches):
+    """Of each row, two blocks of different groups, one verified link if there is any:
+    a group's members are connected, so one link joins the groups."""
     for batch in batches:
-        keep = [linked(token_set(x), token_set(y)) for x, y in zip(lists(batch.column("hx")), lists(batch.column("hy")))]
-        some = batch.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], ["a", "b"])
+        a, b = [], []
+        columns = [batch.column(c) for c in ("x", "y")]
+        nodes = [batch.column(c).to_pylist() for c in ("xs", "ys")]
+        for row in range(batch.num_rows):
+            x, y = ([token_set(h) for h in lists(c.slice(row, 1).flatten())] for c in columns)
+            found = next(((i, j) for i in range(len(x)) for j in range(len(y)) if linked(x[i], y[j])), None)
+            if found:
+                a.append(nodes[0][row][found[0]])
+                b.append(nodes[1][row][found[1]])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def block_links(info: DataFrame, texts: DataFrame) -> DataFrame:
@@ -221,18 +229,11 @@ def block_links(info: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(rows.groupBy("block").applyInArrow(forest, "a long, b long"), "links")
 
 
-def verified_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return two.select("a", "b", word_hashes(F.col("x")).alias("hx"), word_hashes(F.col("y")).alias("hy")).mapInArrow(
-        verified, "a long, b long")
-
-
-def group_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of nodes of different groups."""
+def group_links(shared: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """A verified link of every two groups that have one."""
     rows = shared.join(groups, "node", "left").withColumn("g", F.coalesce("root", "node"))
     members = stored(rows.select("g", "node", "n").distinct(), "members")
-    spans = members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    spans = members.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("size"))
     matrix = stored(rows.select("token", "g").distinct().join(spans, "g"), "matrix")
     x, y = matrix.alias("x"), matrix.alias("y")
     fits = (4 * F.col("x.high") >= 3 * F.col("y.low")) & (4 * F.col("y.high") >= 3 * F.col("x.low"))
@@ -244,10 +245,19 @@ def group_pairs(shared: DataFrame, groups: DataFrame) -> DataFrame:
         """28 * (prefix tokens that sets of these sizes share at least), less than that by one token."""
         return 12 * (F.col(a) + F.col(b)) - 21 * F.greatest(a, b) - 28
 
-    opened = overlap.where(28 * F.col("c") >= F.least(need("high", "o_low"), need("low", "o_high")))
-    mine = members.select("g", F.col("node").alias("a"), F.col("n").alias("na"))
-    other = members.select(F.col("g").alias("o"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    return opened.select("g", "o").join(mine, "g").join(other, "o").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b")
+    opened = stored(overlap.where(28 * F.col("c") >= F.least(need("high", "o_low"), need("low", "o_high"))).select("g", "o"), "opened")
+    # a group is opened block by block: a pair of blocks is a row, never a pair of members
+    wanted = opened.select("g").union(opened.select(F.col("o").alias("g"))).distinct()
+    dealt = members.join(wanted, "g").join(spans.select("g", "size"), "g").select(
+        "g", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK)).alias("part"))
+    blocks = stored(dealt.join(texts, "node").groupBy("g", "part").agg(
+        F.collect_list(F.struct("node", "text")).alias("nodes")), "blocks")
+    mine = blocks.select("g", F.col("nodes").alias("left"))
+    other = blocks.select(F.col("g").alias("o"), F.col("nodes").alias("right"))
+    sets = lambda c: F.transform(c, lambda m: word_hashes(m["text"]))
+    pairs = opened.join(mine, "g").join(other, "o").select(
+        F.col("left.node").alias("xs"), F.col("right.node").alias("ys"), sets("left").alias("x"), sets("right").alias("y"))
+    return stored(pairs.mapInArrow(bridges, "a long, b long"), "links")
 
 
 def joined(docs: DataFrame) -> DataFrame:
@@ -263,10 +273,9 @@ def joined(docs: DataFrame) -> DataFrame:
     shared = stored(rows.repartition("token", "salt").mapInArrow(shared_rows, "token long, node long, n long"), "prefixes")
     # the text of each node that shares a token, from one of its documents
     chosen = info.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("key").alias("key"))
-    texts = stored(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(chosen, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = stored(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(chosen.hint("merge"), "key").dropDuplicates(["node"]).select("node", "text"), "texts")
     first = block_links(info, texts)
-    pairs = stored(group_pairs(shared, components(first)).distinct(), "pairs")
-    links = first.union(stored(verified_links(pairs, texts), "links"))
+    links = first.union(group_links(shared, components(first), texts))
     return info.select("doc_id", "key", "n", "node").join(components(links), "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
 
