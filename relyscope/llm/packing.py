@@ -17,6 +17,7 @@ texts are cut into full pieces after a first piece that holds the remainder.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 
@@ -44,15 +45,30 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def encoder(path: str) -> tiktoken.Encoding:
-    """The vocabulary of a tokenizers file; its ids are its merge ranks. Strings of
-    special tokens are ordinary text."""
+def encoder(path: str):
+    """The ids of a text by a tokenizers file, whose ids are its merge ranks. Added
+    tokens' strings in the text become their ids, and what lies between them is encoded
+    on its own, as ``tokenizers`` does with ``add_special_tokens=False``."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec["added_tokens"]}
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(t[flag] for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their neighbours are not supported")
     symbols = byte_symbols()
-    ranks = {bytes(symbols[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(symbols[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in added}
+    ordinary = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return ordinary
+    split = re.compile("(" + "|".join(re.escape(s) for s in sorted(added, key=len, reverse=True)) + ")").split
+
+    def encode(text: str) -> list[int]:
+        first, *rest = split(text)
+        ids = ordinary(first)
+        for token, after in zip(rest[::2], rest[1::2]):
+            ids += [added[token], *ordinary(after)]
+        return ids
+
+    return encode
 
 
 def cuts(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
@@ -62,7 +78,7 @@ def cuts(n: int, most: int = SEQUENCE) -> list[tuple[int, int]]:
 
 
 def pieces(batches, path: str):
-    encode = encoder(path).encode_ordinary
+    encode = encoder(path)
     for batch in batches:
         out = {"row": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
         for row, text in enumerate(batch.column("text")):
