@@ -1,8 +1,8 @@
-"""The ten queries of this subpackage and their DuckDB twins."""
+"""The thirteen queries of this subpackage and their DuckDB twins."""
 
 from __future__ import annotations
 
-from . import jaccard, language, linededup, mixing, packing, quality, sharding, topk, toxicity, urls
+from . import infill, jaccard, language, linededup, mixing, packing, periodic, quality, sharding, substrings, topk, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -15,9 +15,15 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_exact_top_k": topk.op9_exact_top_k,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_substring_dedup": substrings.op12_substring_dedup,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op9_exact_top_k": topk.OP9_SQL,
     "op10_jaccard_join": jaccard.OP10_SQL,
+    "op11_periodic_runs": periodic.OP11_SQL,
+    "op12_substring_dedup": substrings.OP12_SQL,
+    "op13_fill_in_middle": infill.OP13_SQL,
 }

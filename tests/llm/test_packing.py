@@ -18,7 +18,6 @@ def test_pieces_sequences_and_ids(spark):
     path = packing.default_tokenizer()
     got = packing.pack(docs(spark, rows).withColumnRenamed("lang", "length"), path).collect()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     want = []
     for d, t, *_ in rows:
         ids = plain.encode(t or "", add_special_tokens=False).ids + [0]
