@@ -3,7 +3,7 @@
 A word goes if a window of ``WINDOW`` words that covers it also starts in a document
 of smaller id. Windows are judged on the input.
 
-1. Anchors. Of the ``GRAM``-word grams inside a window the one of least hash (the
+1. Anchors. Of the 20-word grams inside a window the one of least hash (the
    first of equal ones) is its anchor; equal windows have equal anchors at equal
    places. Neighbouring windows of one anchor form a context: the words from the
    first window's start to the last one's end, under a hash of its content.
@@ -15,9 +15,10 @@ of smaller id. Windows are judged on the input.
    smallest document in which its sequences occur. The contexts are then streamed
    through it: their matching statistics, cut at ``WINDOW`` words, give each
    window's state, and a window goes if that state's document is smaller.
-4. Anchors of over ``SPREAD`` different contexts would make a shard too large; their
-   contexts are keyed by whole windows instead (one content a key), and the
-   smallest document of each key is found by an aggregate. Nothing is dropped.
+4. Anchors of over ``SPREAD`` different contexts would make a shard too large: the
+   windows of their contexts get anchors of more words, and steps 2 and 3 follow for
+   these (``GRAMS``). The last anchor is the whole window, of which there is one content
+   only. Nothing is dropped.
 
 So automata travel to the contexts that can match them, not to all documents: what
 repeats grows with the corpus, and no part of it is small enough to be sent
@@ -47,7 +48,7 @@ from .wordseq import mixed, pieces, stretches, word_hashes
 by_value(__name__)
 
 WINDOW = 50
-GRAM = 20
+GRAMS = (20, 35, WINDOW)  # words of an anchor, and of those that share hot anchors out
 SHARD = 20_000  # words of a shard, about
 SPREAD = 256  # contexts of an anchor in a shard at most
 
@@ -63,14 +64,14 @@ def leftmost_least(x: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def contexts_of(word: np.ndarray, first: np.ndarray):
+def contexts_of(word: np.ndarray, first: np.ndarray, gram: int):
     """(text, anchor, context, start, windows) of the contexts of texts' words."""
     if len(word) < WINDOW:
         return None
     content = stretches(word)
-    grams = np.arange(len(word) - GRAM + 1)
-    h = content(grams, grams + GRAM)
-    at = leftmost_least(h, WINDOW - GRAM + 1)  # of the window that starts at each word
+    grams = np.arange(len(word) - gram + 1)
+    h = content(grams, grams + gram)
+    at = leftmost_least(h, WINDOW - gram + 1)  # of the window that starts at each word
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:len(at)]
     inside = np.flatnonzero(np.arange(len(at)) + WINDOW <= first[text + 1])
     if not len(inside):
@@ -83,14 +84,27 @@ def contexts_of(word: np.ndarray, first: np.ndarray):
     return text[start], h[at[start]], context, start - first[text[start]], windows
 
 
+def context_rows(b: pa.RecordBatch, word: np.ndarray, first: np.ndarray, gram: int):
+    """The contexts of a batch's rows (doc_id, key), if any, as a batch."""
+    if (got := contexts_of(word, first, gram)) is not None:
+        text, anchor, context, start, windows = got
+        rows = b.select(["doc_id", "key"]).take(pa.array(text))
+        yield pa.RecordBatch.from_arrays(
+            [*rows.columns, pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(start.astype(np.int32)),
+             pa.array(windows.astype(np.int32))], ["doc_id", "key", "anchor", "context", "start", "windows"])
+
+
 def anchored(batches):
     for b in pieces(batches, "text"):
-        if (got := contexts_of(*word_hashes(b.column("text")))) is not None:
-            text, anchor, context, start, windows = got
-            rows = b.select(["doc_id", "key"]).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns, pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(start.astype(np.int32)),
-                 pa.array(windows.astype(np.int32))], ["doc_id", "key", "anchor", "context", "start", "windows"])
+        yield from context_rows(b, *word_hashes(b.column("text")), GRAMS[0])
+
+
+def anchored_again(batches, gram: int):
+    """``anchored`` for contexts whose words are at hand."""
+    for b in batches:
+        column = b.column("words")
+        first = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+        yield from context_rows(b, column.flatten().to_numpy().view(np.uint64), first, gram)
 
 
 class Automaton:
@@ -199,54 +213,55 @@ def judged(batches):
         at = end
 
 
-def windowed(batches):
-    """(content, context, doc_id, start) of every window of a context."""
-    for b in batches:
-        word = b.column("words").flatten().to_numpy().view(np.uint64)
-        sizes = np.array([len(x) for x in b.column("words")], np.int64)
-        row = np.repeat(np.arange(len(sizes)), sizes - WINDOW + 1)
-        before = np.cumsum(sizes) - sizes
-        start = np.arange(len(row)) - (np.cumsum(sizes - WINDOW + 1) - (sizes - WINDOW + 1))[row]
-        if len(row):
-            content = stretches(word)(before[row] + start, before[row] + start + WINDOW)
-            rows = b.select(["context", "doc_id"]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(content.view(np.int64)), *rows.columns, pa.array(start.astype(np.int32))], ["content", "context", "doc_id", "start"])
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """``key, spans`` of the documents (key: xxhash64 of doc_id and text) that lose words;
-    spans: (first window's start, windows)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = keyed(docs).where("doc_id is not null and text is not null")
-    every = stored(texts.mapInArrow(anchored, f"doc_id {kind}, key long, anchor long, context long, start int, windows int"), "contexts")
-    several = every.groupBy(F.col("anchor").alias("of")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("of")
+CONTEXT = "key long, anchor long, context long, start int, windows int"
+
+
+def repeated_windows(every: DataFrame, fetch, level: int = 0) -> DataFrame:
+    """``key, spans`` of what holds windows that a smaller document has too; spans: (first
+    window's start, windows). ``every``: contexts (doc_id, key, ...) by anchors of
+    ``GRAMS[level]`` words; ``fetch`` gives the words of contexts asked by key."""
+    kind = every.schema["doc_id"].dataType.simpleString()
+    several = stored(every.groupBy(F.col("anchor").alias("of")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(
+        "lo < hi").select("of"), "several")
     shared = stored(every.join(several, F.col("anchor") == F.col("of")).drop("of"), "shared")
     distinct = stored(shared.groupBy("anchor", "context").agg(F.min(F.struct("doc_id", "key", "start", "windows")).alias("least")), "distinct")
-    counts = distinct.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("n")).where("n > 1")
+    counts = stored(distinct.groupBy(F.col("anchor").alias("of")).agg(F.count("*").alias("n")).where("n > 1"), "counts")
     asked = distinct.join(counts, F.col("anchor") == F.col("of")).groupBy(F.col("least.key").alias("k")).agg(F.collect_list(F.struct(
         "anchor", "context", (F.col("n") > SPREAD).alias("hot"), F.col("least.start").alias("start"), F.col("least.windows").alias("windows"))).alias("asked"))
-    # rows of one key are equal; the contexts of one are enough
-    once = texts.join(asked.hint("merge"), F.col("key") == F.col("k")).select("doc_id", "text", "asked")
-    contexts = stored(once.mapInArrow(fetched, f"anchor long, context long, doc_id {kind}, hot boolean, words array<long>"), "references")
-    met = contexts.where("not hot").repartition("anchor").mapInArrow(judged, "context long, earlier array<int>")
-    windows = contexts.where("hot").mapInArrow(windowed, f"content long, context long, doc_id {kind}, start int")
-    earliest = windows.groupBy(F.col("content").alias("same")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("same", "lo")
-    hot = windows.join(earliest, F.col("content") == F.col("same")).where("lo < doc_id").groupBy("context").agg(
-        F.collect_set("start").alias("earlier"))
-    judgement = stored(met.union(hot), "judged").groupBy(F.col("context").alias("c")).agg(F.first("earlier").alias("earlier"))
+    contexts = stored(fetch(asked), "references")
+    judgement = contexts.where("not hot").repartition("anchor").mapInArrow(judged, "context long, earlier array<int>")
+    if level + 1 < len(GRAMS) and not counts.where(F.col("n") > SPREAD).isEmpty():
+        hot = contexts.where("hot").withColumnRenamed("context", "key")
+        parts = stored(hot.mapInArrow(lambda it: anchored_again(it, GRAMS[level + 1]), f"doc_id {kind}, {CONTEXT}"), "contexts")
+        cut = F.transform("asked", lambda a: F.struct(a["anchor"].alias("anchor"), a["context"].alias("context"), a["hot"].alias("hot"), F.slice(
+            "words", a["start"] + 1, a["windows"] + (WINDOW - 1)).alias("words")))
+        found = repeated_windows(parts, lambda asked: hot.join(asked, F.col("key") == F.col("k")).select("doc_id", F.inline(cut)).select(
+            "anchor", "context", "doc_id", "hot", "words"), level + 1)
+        judgement = judgement.union(found.select("key", F.flatten(F.transform("spans", lambda s: F.sequence(
+            s["start"], s["start"] + s["windows"] - 1)))))
+    # equal rows of the input give the same judgement of a context
+    known = stored(judgement, "judged").groupBy(F.col("context").alias("c")).agg(F.first("earlier").alias("earlier"))
     verdict = stored(distinct.select(F.col("context").alias("of"), F.col("least.doc_id").alias("least")).join(
-        judgement, F.col("of") == F.col("c"), "left").select("of", "least", "earlier"), "verdicts")
+        known, F.col("of") == F.col("c"), "left").select("of", "least", "earlier"), "verdicts")
     spans = shared.join(verdict, F.col("context") == F.col("of")).select(
         "key", F.when(F.col("doc_id") > F.col("least"), F.array(F.struct("start", "windows"))).otherwise(F.transform(
             "earlier", lambda s: F.struct((F.col("start") + s).alias("start"), F.lit(1).alias("windows")))).alias("own")).where("own is not null")
     return spans.distinct().groupBy("key").agg(F.flatten(F.collect_list("own")).alias("spans"))
 
 
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """``repeated_windows`` of documents, by xxhash64 of doc_id and text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = keyed(docs).where("doc_id is not null and text is not null")
+    every = stored(texts.mapInArrow(anchored, f"doc_id {kind}, {CONTEXT}"), "contexts")
+    return repeated_windows(every, lambda asked: texts.join(asked.hint("merge"), F.col("key") == F.col("k")).select(
+        "doc_id", "text", "asked").mapInArrow(fetched, f"anchor long, context long, doc_id {kind}, hot boolean, words array<long>"))
+
+
 def without(batches):
     """(doc_id, n_words, n_removed, kept) of every text."""
     for b in pieces(batches, "text"):
