@@ -104,24 +104,35 @@ def label(c: Column | str) -> Column:
     return F.coalesce(F.replace(F.initcap(marked), F.lit(_CUT), F.lit("")), F.lit(""))
 
 
+def _number_text(s: Column) -> Column:
+    """Plain text of a double from Spark's text of it; only texts with an exponent need work."""
+    power = F.substring_index(s, "E", -1).try_cast("int")
+    digits = F.rtrim(s.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
+    plain = F.concat(digits, F.when(digits.endswith("."), F.lit("0")).otherwise(F.lit("")))
+    mantissa = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", "")
+    exponent = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                        F.format_string("%02d", F.abs(power)))
+    return (F.when(s.contains("E"), F.when((power >= -4) & (power < 16), plain).otherwise(exponent))
+            .when(s == "NaN", F.lit("nan")).when(s == "Infinity", F.lit("inf"))
+            .when(s == "-Infinity", F.lit("-inf")).otherwise(s))
+
+
 def plain_number(c: Column | str) -> Column:
     """A double as text: its shortest digits, always with a fraction (``12345678.0``,
     ``0.0005``), in plain notation for 1e-4 <= |x| < 1e16 and zero, else with an
     exponent of two digits or more (``1e+16``, ``1.5e-05``); ``nan``, ``inf``."""
     c = F.col(c) if isinstance(c, str) else c
-    x = c.cast("double")
-    s = x.cast("string")
-    digits = F.regexp_replace(s.try_cast("decimal(38,22)").cast("string"), r"(\.\d*?)0+$", "$1")
-    plain = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    mantissa = F.regexp_replace(F.substring_index(s, "E", 1), r"\.0$", "")
-    power = F.regexp_extract(s, r"E(-?\d+)$", 1).try_cast("int")
-    exponent = F.concat(mantissa, F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-                        F.format_string("%02d", F.abs(power)))
-    size = F.abs(x)
-    return (F.when(F.isnan(x), F.lit("nan"))
-            .when(size == float("inf"), F.when(x < 0, F.lit("-inf")).otherwise(F.lit("inf")))
-            .when(~s.contains("E"), s)
-            .when((size >= 1e-4) & (size < 1e16), plain).otherwise(exponent))
+    return _number_text(c.cast("double").cast("string"))
+
+
+def with_plain_numbers(df: DataFrame, outputs: dict[str, Column | str]) -> DataFrame:
+    """:func:`plain_number` for several columns, ``{output name: input column}``, staged
+    so that each number is turned into text once a row."""
+    ins = [F.col(c) if isinstance(c, str) else c for c in outputs.values()]
+    keep = [F.col(c) for c in df.columns]
+    names = [f"__pn{i}" for i in range(len(ins))]
+    return df.select(*keep, *[c.cast("double").cast("string").alias(n) for c, n in zip(ins, names)]).select(
+        *keep, *[_number_text(F.col(n)).alias(out) for n, out in zip(names, outputs)])
 
 
 def minute_text(c: Column | str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.derived import auto_flag, confidence_pct, incident_status, mttr_text
 from ..functions.impact import SEVERITY_LEVEL, with_business_impact
-from ..functions.text import DASH, minute_text, plain_number, with_clean_texts, ws_strip
+from ..functions.text import DASH, minute_text, plain_number, with_clean_texts, with_plain_numbers, ws_strip
 
 # List-row cut of the cleaned root cause, and row actions.
 CAUSE_CUT = 55
@@ -62,10 +62,6 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def _number(c: str) -> Column:
-    return F.coalesce(plain_number(c), F.lit(""))
-
-
 # ---- S3 --------------------------------------------------------------------
 
 def filled_records(rows: DataFrame) -> DataFrame:
@@ -123,11 +119,9 @@ def incident_detail(incidents: DataFrame) -> DataFrame:
 
 # ---- D10 -------------------------------------------------------------------
 
-def _step(tone: str, ts: Column, text: Column | str, time_text: Column | None = None) -> Column:
+def _step(tone: str, ts: Column, text: Column | str, time_text: Column) -> Column:
     text = F.lit(text) if isinstance(text, str) else text
-    return F.struct(F.lit(tone).alias("tone"), ts.alias("event_time"),
-                    (minute_text(ts) if time_text is None else time_text).alias("time_text"),
-                    text.alias("event"))
+    return F.struct(F.lit(tone).alias("tone"), ts.alias("event_time"), time_text.alias("time_text"), text.alias("event"))
 
 
 def _cause_steps_map() -> Column:
@@ -141,38 +135,39 @@ def _cause_steps_map() -> Column:
 def incident_timeline(incidents: DataFrame) -> DataFrame:
     """Ordered events per incident ``(incident_id, seq, tone, event_time, time_text, event)``."""
     ts_type = incidents.schema["detected_at"].dataType
-    det = F.col("detected_at")
-    created, resolved_at = F.col("created_at").cast(ts_type), F.col("resolved_at").cast(ts_type)
+    # each time is formatted once a row, whatever the number of events that show it
+    incidents = incidents.select("incident_id", _up("cause_category").alias("__cat"), auto_flag().alias("__auto"), "detected_at", *[
+        F.col(c).cast(ts_type).alias(c) for c in ("created_at", "resolved_at")]).select("*", *[
+            minute_text(c).alias(f"__{c}") for c in ("detected_at", "created_at", "resolved_at")])
+    det, resolved_at = F.col("detected_at"), F.col("resolved_at")
     other = F.array(*[F.struct(F.lit(t).alias("tone"), F.lit(e).alias("event"))
                       for t, e in TL_OTHER_CAUSE])
-    cause = F.coalesce(_cause_steps_map()[_up("cause_category")], other)
-    cause_steps = F.transform(cause, lambda s: _step_from(s, det))
-    closed = (F.when(auto_flag(), _step(TL_AUTO[0], resolved_at, TL_AUTO[1]))
-              .otherwise(_step(TL_MANUAL[0], resolved_at, TL_MANUAL[1])))
+    cause = F.coalesce(_cause_steps_map()[F.col("__cat")], other)
+    cause_steps = F.transform(cause, lambda s: F.struct(
+        s["tone"].alias("tone"), det.alias("event_time"), F.col("__detected_at").alias("time_text"), s["event"].alias("event")))
+    closed = (F.when(F.col("__auto"), _step(TL_AUTO[0], resolved_at, TL_AUTO[1], F.col("__resolved_at")))
+              .otherwise(_step(TL_MANUAL[0], resolved_at, TL_MANUAL[1], F.col("__resolved_at"))))
     waiting = _step(TL_AWAITING[0], F.lit(None).cast(ts_type), TL_AWAITING[1], F.lit(TL_ONGOING))
     last = F.when(resolved_at.isNotNull(), closed).otherwise(waiting)
-    steps = F.concat(F.array(_step(TL_TRIGGERED[0], det, TL_TRIGGERED[1])), cause_steps,
-                     F.array(_step(TL_DIAGNOSED[0], created, TL_DIAGNOSED[1]), last))
+    steps = F.concat(F.array(_step(TL_TRIGGERED[0], det, TL_TRIGGERED[1], F.col("__detected_at"))), cause_steps,
+                     F.array(_step(TL_DIAGNOSED[0], F.col("created_at"), TL_DIAGNOSED[1], F.col("__created_at")), last))
     return (incidents.select("incident_id", F.posexplode(steps).alias("pos", "s"))
             .select("incident_id", (F.col("pos") + 1).alias("seq"), "s.tone", "s.event_time",
                     "s.time_text", "s.event"))
 
 
-def _step_from(s: Column, ts: Column) -> Column:
-    return F.struct(s["tone"].alias("tone"), ts.alias("event_time"),
-                    minute_text(ts).alias("time_text"), s["event"].alias("event"))
-
-
 # ---- D11, D12, D13 -----------------------------------------------------------
 
-def _value_text() -> Column:
-    return ws_strip(F.concat_ws(" ", _number("metric_value"), _text("metric_unit")))
+def _with_value(metrics: DataFrame) -> DataFrame:
+    # The number's text is a stage of its own: views use it more than once.
+    return with_plain_numbers(metrics, {"__num": "metric_value"})
 
 
 def metric_display(metrics: DataFrame) -> DataFrame:
     """List rows (metric, category, severity, value with unit, workspace, time)."""
-    v = _value_text()
-    return metrics.select(
+    v = F.col("__v")
+    staged = _with_value(metrics).select("*", ws_strip(F.concat_ws(" ", "__num", _text("metric_unit"))).alias("__v"))
+    return staged.select(
         "insight_id", _text("metric_name").alias("metric_name"),
         _text("metric_category").alias("metric_category"),
         _up("severity").alias("severity"),
@@ -196,7 +191,7 @@ def _with_severity(metrics: DataFrame) -> DataFrame:
 
 def metric_detail(metrics: DataFrame) -> DataFrame:
     """One wide row per anomaly with the detail page's derived fields."""
-    metrics = _with_severity(metrics)
+    metrics = _with_value(_with_severity(metrics))
     texts = with_clean_texts(metrics, {"suggested_fix_text": "suggested_fix"})
     staged = with_business_impact(texts, F.col("__lvl"), F.col("business_impact"),
                                   F.col("suggested_fix_text"), F.lit(DASH), cleaned=True)
@@ -204,7 +199,7 @@ def metric_detail(metrics: DataFrame) -> DataFrame:
     return staged.select(
         "insight_id", _text("metric_name").alias("metric_name"),
         F.col("__sev").alias("severity"), F.col("__lvl").alias("impact_level"),
-        _number("metric_value").alias("value_text"),
+        F.coalesce("__num", F.lit("")).alias("value_text"),
         F.when(unit == F.lit(""), F.lit(NO_UNIT)).otherwise(unit).alias("unit_text"),
         _text("anomaly_type").alias("anomaly_type"),
         _text("metric_category").alias("metric_category"),
@@ -221,20 +216,21 @@ def metric_detail(metrics: DataFrame) -> DataFrame:
 
 def metric_timeline(metrics: DataFrame) -> DataFrame:
     """Events per anomaly, all at the anomaly's time."""
-    metrics = metrics.select("*", _up("severity").alias("__sev"))
-    ts = F.col("timestamp")
-    sev = F.col("__sev")
-    kind = _text("anomaly_type")
-    recorded = _step("gray", ts, F.concat(F.lit(MTL_RECORDED), _number("metric_value"), F.lit(" "),
-                                          _text("metric_unit")))
+    recorded_text = F.concat(F.lit(MTL_RECORDED), F.coalesce("__num", F.lit("")), F.lit(" "), _text("metric_unit"))
+    metrics = _with_value(metrics).select(
+        "insight_id", "timestamp", _up("severity").alias("__sev"), _text("anomaly_type").alias("__kind"),
+        recorded_text.alias("__recorded"), minute_text("timestamp").alias("__time"))
+    sev, kind = F.col("__sev"), F.col("__kind")
+    step = lambda tone, text: _step(tone, F.col("timestamp"), text, F.col("__time"))
+    recorded = step("gray", F.col("__recorded"))
     high = F.array(recorded,
-                   _step("red", ts, F.concat(F.lit(MTL_DETECTED), kind)),
-                   _step("amber", ts, MTL_ANALYSED),
-                   _step("red", ts, F.concat(sev, F.lit(MTL_ALERT))))
+                   step("red", F.concat(F.lit(MTL_DETECTED), kind)),
+                   step("amber", MTL_ANALYSED),
+                   step("red", F.concat(sev, F.lit(MTL_ALERT))))
     medium = F.array(recorded,
-                     _step("amber", ts, F.concat(F.lit(MTL_DETECTED), kind)),
-                     _step("amber", ts, MTL_ANALYSED))
-    other = F.array(recorded, _step("blue", ts, F.concat(F.lit(MTL_FLAGGED), kind)))
+                     step("amber", F.concat(F.lit(MTL_DETECTED), kind)),
+                     step("amber", MTL_ANALYSED))
+    other = F.array(recorded, step("blue", F.concat(F.lit(MTL_FLAGGED), kind)))
     steps = (F.when(sev.isin("CRITICAL", "HIGH"), high)
              .when(sev == F.lit("MEDIUM"), medium).otherwise(other))
     return (metrics.select("insight_id", F.posexplode(steps).alias("pos", "s"))
