@@ -58,6 +58,23 @@ def write_resolved_partitions(incidents: DataFrame, resolutions: DataFrame, path
     return write_snapshot(resolve_incidents(rows, resolutions), path, ("detected_date",), mode="overwrite")
 
 
+def swap_resolved_partitions(incidents: DataFrame, resolutions: DataFrame, table: str, staging: str) -> str:
+    """Resolve a batch inside the partitioned ``table`` that ``incidents`` is read from.
+
+    The touched ``detected_date`` partitions are written to ``staging`` (a path of
+    its own) and, once they are whole, put in place of the table's (dynamic overwrite
+    replaces the partitions that hold rows and no others). A failure before the swap
+    leaves the table as it was; one inside it can be mended by running the swap again,
+    since ``staging`` is not touched by it. Returns the table's path.
+    """
+    spark = incidents.sparkSession
+    write_resolved_partitions(incidents, resolutions, staging)
+    swapped = spark.read.schema(incidents.schema).parquet(staging).select(*incidents.columns)
+    write_snapshot(swapped, table, ("detected_date",), mode="overwrite")
+    spark.catalog.refreshByPath(table)
+    return table
+
+
 def write_resolved_snapshot(incidents: DataFrame, resolutions: DataFrame, path: str,
                             partition_by: tuple[str, ...] = ("detected_date",)) -> str:
     """Write the whole resolved table to a new directory (never over its own input)."""

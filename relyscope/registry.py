@@ -25,6 +25,7 @@ from .operators import resolve as R
 from .operators.detail import filled_records
 from .plans import rollup as RU
 from .sources.schemas import INCIDENT_COLUMNS, METRIC_COLUMNS, check_incidents, check_metrics
+from .sources.tables import new_table_path, read_incidents, read_metrics, write_snapshot
 from .sources.fixtures import (
     INCIDENTS_AS_OF, METRICS_AS_OF, RAW_IMPACT, RAW_TEXT, load_incidents, load_lookup_ids, load_metrics,
     resolutions_from_incidents,
@@ -82,6 +83,32 @@ def _resolve_unmatched(spark, sf_dir):
     return R.unmatched_resolutions(load_incidents(spark, sf_dir), load_lookup_ids(spark, sf_dir))
 
 
+def _written_incidents(spark, sf_dir) -> str:
+    """The incidents as a table partitioned by detected_date in the shared folder."""
+    return write_snapshot(load_incidents(spark, sf_dir), new_table_path(spark, "incidents"), ("detected_date",))
+
+
+def _incidents_table(spark, sf_dir):
+    return read_incidents(spark, _written_incidents(spark, sf_dir))
+
+
+def _metrics_table(spark, sf_dir):
+    dated = load_metrics(spark, sf_dir).withColumn("day", F.to_date("timestamp"))
+    return read_metrics(spark, write_snapshot(dated, new_table_path(spark, "metric_insights"), ("day",), files_per_value=1))
+
+
+def _table_kpis(spark, sf_dir):
+    return I.overview_kpis(_incidents_table(spark, sf_dir), as_of=INCIDENTS_AS_OF, days=INC_DAYS, date_partitioned=True)
+
+
+def _resolved_partitions(spark, sf_dir):
+    """Resolve a batch inside a partitioned table and read the table back."""
+    table = _written_incidents(spark, sf_dir)
+    inc = read_incidents(spark, table)
+    R.swap_resolved_partitions(inc, resolutions_from_incidents(inc), table, new_table_path(spark, "resolved"))
+    return read_incidents(spark, table)
+
+
 def _status_view(inc):
     return inc.select("incident_id", incident_status().alias("status"))
 
@@ -131,8 +158,12 @@ def _impact_documents(spark, sf_dir):
         "doc_id", *OUTPUTS)
 
 
-# Rollup-derived answers: same keys' oracle SQL as the direct operators.
+# Answers by another way (from the rollup, from written tables): same SQL as the direct operators.
 ROLLUP_TWINS = {
+    "incidents_table": "incidents_scan",
+    "metrics_table": "metrics_scan",
+    "overview_kpis_table": "overview_kpis",
+    "incident_resolve_partitions": "incident_resolve",
     "incident_week_stats_from_rollup": "incident_week_stats",
     "overview_kpis_from_rollup": "overview_kpis",
     "failures_by_category_from_rollup": "failures_by_category",
@@ -209,6 +240,11 @@ def build() -> dict[str, Query]:
         "incident_page_filled": _then(q["incident_page"], filled_records),
         "recent_open_filled": _then(q["recent_open"], filled_records),
         "metric_page_filled": _then(q["metric_page"], filled_records),
+        # real tables, partitioned by date in the shared folder: read, read by window, resolved in place
+        "incidents_table": _incidents_table,
+        "metrics_table": _metrics_table,
+        "overview_kpis_table": _table_kpis,
+        "incident_resolve_partitions": _resolved_partitions,
         # the text rules over whole documents
         "clean_text_documents": _clean_documents,
         "business_impact_documents": _impact_documents,

@@ -8,6 +8,8 @@ caller-given path) when the session has none, as in tests.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings that matter for every plan in this library.
@@ -66,3 +68,30 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
         spark.sparkContext.setCheckpointDir(fallback)
         return spark.sparkContext.getCheckpointDir()
     return None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine (``local[..]``, as in tests) sets a
+    folder of its own; on a cluster there is no stand-in, and the error says so.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relyscope-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application's intermediate tables go; ``remove_run_folder`` clears it."""
+    return f"{shared_folder(spark)}/relyscope/{spark.sparkContext.applicationId}"
+
+
+def remove_run_folder(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, once no result reads them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

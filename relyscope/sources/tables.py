@@ -7,9 +7,12 @@ Parquet reader (``PushedFilters``) and reads only the columns each one uses.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import run_folder
 from .schemas import INCIDENT_COLUMNS, METRIC_COLUMNS, check_incidents, check_metrics
 
 
@@ -30,6 +33,11 @@ def read_metrics(spark: SparkSession, source: str, fmt: str = "parquet") -> Data
     return check_metrics(_scan(spark, source, fmt)).select(*METRIC_COLUMNS)
 
 
+def new_table_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, for a table that a job writes."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def write_snapshot(df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
                    mode: str = "errorifexists", files_per_value: int = 8) -> str:
     """Write a result or a new table snapshot as Parquet.
