@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import run_folder
+
 # The word of the data contract: a run of characters other than ASCII white space.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -24,25 +25,15 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``, which driver and executors
-    share. Only a session without the setting (tests) gets a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="relyscope-ckpt-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     Cuts lineage with committed files: a lost executor costs a task's re-run,
-    never the table. Every call writes a path of its own.
+    never the table. Every call writes a path of its own; nothing is deleted before
+    the result is read: ``session.remove_run_folder`` clears an application's tables.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relyscope/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,12 +7,16 @@ with one token constraint a source: rate-weighted words equal the target. Newton
 steps run for all sources at once, each one aggregate over the compact
 ``(source, size, documents)`` table. Rates become copies by hash dithering,
 and a per-source shift of the dither, found by weighted quantiles, brings each
-source's words to its target within about one document.
+source's words to its target within about one document. Rows equal in doc_id, source
+and text are numbered, so each has a dither of its own and they move one by one.
 
 Defined results: null text has size 0; null source is a source of its own, last
 in order; a document of size 0 has rate 1 (one copy, no words); a source whose
-target is twice its size takes every document twice; an empty table gives an
-empty result. Repeated rows are separate documents but share their dither.
+target is twice its size takes every document twice; texts of any length count
+whole; ties in the dither's distance move together only where two hashes are equal;
+repeated rows are separate documents; an empty table gives an empty result. Columns
+other than doc_id, source and text pass through ``mix_documents`` unchanged, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -104,11 +108,13 @@ def tilts(sizes: DataFrame, goal: DataFrame) -> DataFrame:
 def rated(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` (key, source, size, ...) with their source's plan and dithered copies.
 
-    ``key`` seeds the dither u in [0, 1): copies are floor(rate + u). The plan has
+    ``key`` and ``rank`` seed the dither u in [0, 1): copies are floor(rate + u). The plan has
     a row a source, so Spark joins it by broadcast while it is small by its own
     measure, and else by a shuffle whose hot sources AQE splits.
     """
-    u = F.pmod(F.xxhash64("key", F.lit("mix")), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    # the first of equal rows has the dither that it would have alone
+    seed = F.when(F.col("rank") == 0, F.xxhash64("key", F.lit("mix"))).otherwise(F.xxhash64("key", "rank", F.lit("mix")))
+    u = F.pmod(seed, F.lit(1 << 52)).cast("double") / float(1 << 52)
     plan = plan.withColumnRenamed("source", "of")
     v = rows.join(plan, rows["source"].eqNullSafe(plan["of"])).withColumn(
         "v", rate(F.col("tilt"), F.col("size"), F.col("mean_size")) + u)
@@ -171,18 +177,39 @@ def sized(docs: DataFrame, *keep) -> DataFrame:
                        F.size(words(F.col("text"))).cast("long").alias("size"), *keep)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` of a stored table with ``rank``: 0, 1, ... among rows of equal ``key``.
+
+    Rows are numbered inside the partitions they are read in; the counts of a key's
+    earlier partitions shift the numbers, so a key of any size is spread over as many
+    tasks as hold its rows.
+    """
+    at = rows.withColumn("part", F.spark_partition_id())
+    counts = at.groupBy("key", "part").agg(F.count("*").alias("n"))
+    ahead = counts.select(F.col("key").alias("of"), F.col("part").alias("in"), F.sum("n").over(
+        Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("ahead")).where("ahead > 0")
+    local = at.withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy("part")) - 1)
+    return local.join(ahead, (F.col("key") == F.col("of")) & (F.col("part") == F.col("in")), "left").select(
+        *rows.columns, (F.col("rank") + F.coalesce("ahead", F.lit(0))).alias("rank"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = stored(sized(read(spark, sf_dir, "documents"), "doc_id"), "sized")
+    docs = stored(numbered(stored(sized(read(spark, sf_dir, "documents"), "doc_id"), "sized")), "numbered")
     return with_copies(docs, planned(docs)).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it."""
-    rows = stored(sized(docs), "sized")
-    taken = stored(with_copies(rows.distinct(), planned(rows, weights, share)).select(
-        F.col("key").alias("_key"), F.col("copies").alias("_copies")), "copies").where("_copies > 0")
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "source", "text"))
-    mixed = keyed.join(taken.distinct(), F.col("_row_key") == F.col("_key"))
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(numbered(stored(sized(docs), "sized")), "numbered")
+    taken = stored(with_copies(rows, planned(rows, weights, share)).groupBy(F.col("key").alias("of")).agg(
+        F.sum("copies").alias("copies"), F.count("*").alias("rows")), "copies")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "source", "text").alias("key"))
+    marked = whole.join(taken.where("copies > 0"), F.col("key") == F.col("of")).select("row", "key", "copies", "rows")
+    if not taken.where("rows > 1").isEmpty():  # equal rows share their copies out
+        marked = stored(marked, "marked")
+        shared = numbered(marked.where("rows > 1")).select("row", F.expr(
+            "copies div rows + if(rank < copies % rows, 1, 0)").alias("copies"))
+        marked = marked.where("rows = 1").select("row", "copies").union(shared)
+    return marked.withColumn("again", F.explode(F.sequence(F.lit(0), F.col("copies")))).where("again > 0").select(
+        *[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

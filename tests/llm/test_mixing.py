@@ -37,7 +37,7 @@ def sample():
 def test_targets_and_taken_words(spark):
     rows = sample()
     d = docs(spark, rows).withColumnRenamed("lang", "size")
-    sized = mixing.stored(mixing.sized(d, "doc_id"), "test")
+    sized = mixing.stored(mixing.numbered(mixing.stored(mixing.sized(d, "doc_id"), "test")), "test")
     got = mixing.with_copies(sized, mixing.planned(sized)).collect()
     assert len(got) == len(rows)
     sizes = {}
@@ -57,7 +57,7 @@ def test_targets_and_taken_words(spark):
 
 
 def test_rates_meet_targets_before_rounding(spark):
-    sized = mixing.stored(mixing.sized(docs(spark, sample())), "test")
+    sized = mixing.stored(mixing.numbered(mixing.stored(mixing.sized(docs(spark, sample())), "test")), "test")
     sizes = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     goal = mixing.tilts(sizes, mixing.targets(sizes))
     rate = mixing.rate(F.col("tilt"), F.col("size"), F.col("mean_size"))
@@ -74,3 +74,34 @@ def test_mixed_rows_and_empty_table(spark):
     taken = sum(len(words(r.text)) for r in mixed.collect())
     assert abs(taken - 1.5 * n) < 0.05 * n
     assert mixing.mix_documents(docs(spark, [])).count() == 0
+
+
+def test_equal_rows_move_one_by_one(spark):
+    ten = "one two three four five six seven eight nine ten"
+    other = [(i, ten, "en", "z") for i in range(100, 190)]
+    rows = [(7, ten, "en", "a")] * 60 + other  # targets: by weight 3 to 1 of 2250, at most 1200 for a
+    for got in (mixing.mix_documents(docs(spark, rows)).collect(), mixing.mix_documents(docs(spark, rows).repartition(5)).collect()):
+        n = {s: sum(r.source == s for r in got) for s in "az"}
+        want = targets({"a": 600, "z": 900})
+        assert abs(10 * n["a"] - want["a"]) <= 10 and abs(10 * n["z"] - want["z"]) <= 10
+    alone = [(7, ten, "en", "a")] * 60 + [(i, ten, "en", "z") for i in range(100, 440)]
+    got = mixing.mix_documents(docs(spark, alone)).collect()
+    assert sum(r.source == "a" for r in got) == 120  # at its cap
+
+
+def test_ranks_of_equal_keys(spark):
+    rows = spark.createDataFrame([(k,) for k in [1] * 500 + list(range(2, 300)) + [5] * 40], "key long").repartition(7)
+    got = {}
+    for r in mixing.numbered(mixing.stored(rows, "keys")).collect():
+        got.setdefault(r.key, []).append(r.rank)
+    assert all(sorted(x) == list(range(len(x))) for x in got.values())
+    assert len(got[1]) == 500 and len(got[5]) == 41
+
+
+def test_any_column_names_pass_through(spark):
+    rows = sample()[:60]
+    names = {"lang": "key", "n_chars": "copies"}
+    table = docs(spark, rows).withColumnsRenamed(names).selectExpr("*", "'x' as rank", "1.5 as size", "2 as `row`", "3 as of", "4 as `rows`", "'b' as part", "7 as again")
+    mixed = mixing.mix_documents(table)
+    assert mixed.columns == table.columns and mixed.dtypes == table.dtypes
+    assert set(map(tuple, mixed.collect())) <= set(map(tuple, table.collect()))

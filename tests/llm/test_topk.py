@@ -9,17 +9,14 @@ SCHEMA = "vec_id long, embedding array<float>, score int"
 
 
 def brute(rows, k):
-    fit = {}
-    for i, v, _ in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            x = tuple(math.floor(1024 * float(np.float32(e))) for e in v)
-            fit[i] = min(fit.get(i, x), x)
-    width = max(map(len, fit.values()), default=0)
-    full = {i: np.array(x + (0,) * (width - len(x)), dtype=object) for i, x in fit.items()}
+    fit = [(i, tuple(math.floor(1024 * float(np.float32(e))) for e in v)) for i, v, _ in rows
+           if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    width = max((len(x) for _, x in fit), default=0)
+    full = [(i, np.array(x + (0,) * (width - len(x)), dtype=object)) for i, x in fit]
     out = []
-    for q in fit:
+    for n, (q, x) in enumerate(full):
         if q % 100 == 0:
-            best = sorted(((-int(full[q] @ full[i]), i) for i in fit if i != q))[:k]
+            best = sorted(((-int(x @ y), i) for m, (i, y) in enumerate(full) if m != n))[:k]
             out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -47,6 +44,35 @@ def test_against_every_pair(spark, monkeypatch):
     assert searched(spark, rows) == brute(rows, 10)
 
 
+def test_every_row_is_a_candidate(spark):
+    rows = [(1, [0.5, 0.5], 0), (1, [0.9, 0.1], 0), (2, [0.2, 0.2], 0), (100, [1.0, 0.0], 0), (100, [0.0, 1.0], 0), (100, [0.0, 1.0], 0)]
+    got = searched(spark, rows)
+    assert got == brute(rows, 10)
+    assert len(got) == 3 * 5
+
+
+def test_large_components_stay_exact(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.standard_normal(4) * 500_000).tolist(), 0) for i in range(300)]
+    got = searched(spark, rows)
+    assert got == brute(rows, 10)
+    assert max(r[3] for r in got) > topk.EXACT
+
+
+def test_far_blocks_stay_closed(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "BOUNDS", 5)
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal((30, 16))
+    # a query's own group is as large as k and points its way
+    rows = [(i, (v / np.linalg.norm(v)).tolist(), 0) for i in range(3000) for v in [centre[i // 100] + 0.03 * rng.standard_normal(16)]]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, SCHEMA))
+    result, pairs, every = topk.search(vectors, F.col("vec_id") % 100 == 0, 10)
+    assert sorted(map(tuple, result.collect())) == brute(rows, 10)
+    assert pairs.count() < 0.5 * every
+
+
 def test_few_vectors(spark):
     assert searched(spark, []) == []
     assert searched(spark, [(0, [1.0], 0)]) == []
@@ -62,7 +88,7 @@ def test_bound_order_stops_early_and_exactly():
     pivots = topk.far_apart(np.concatenate([x, lift(x)[:, None]], 1), topk.PIVOTS)
     dx = topk.to_pivots(x, lift(x), pivots)
     q = x[0]
-    ids, scores = topk.best(q, 0, topk.to_pivots(q[None], np.zeros(1), pivots)[0], x, np.arange(4000), dx, most, 10)
+    ids, scores = topk.best(q, 0, topk.to_pivots(q[None], np.zeros(1), pivots)[0], x, np.arange(4000), np.arange(4000), dx, most, 10, -np.inf)
     order = np.lexsort((np.arange(4000), -(x @ q)))
     order = order[order != 0][:10]
     assert ids.tolist() == order.tolist() and (scores == (x @ q)[order]).all()
