@@ -1,13 +1,14 @@
 """Business impact from plain text or a JSON object.
 
-The impact text is parsed with ``try_parse_json`` into a VARIANT (falling back
-to the first ``{...}`` fragment), fields are picked with ``try_variant_get``,
-and the reference's Python truthiness is reproduced on the JSON text of each
-field. All of it is column expressions; nothing leaves the JVM.
-
-Known, recorded deviations: duplicate keys make the object unparsed (Python
-keeps the last); non-string field values print as JSON text (``true``), not
-Python text (``True``).
+The impact text is parsed with ``try_parse_json`` into a VARIANT; what that refuses
+but Python reads (a key given twice, where the last one counts; ``NaN``) goes to a
+second reader, and what neither reads falls back to the first ``{...}`` fragment. The
+reference's Python truthiness is reproduced on the JSON text of each field. All
+of it is column expressions; nothing leaves the JVM.
+
+Known, recorded deviations: a key given twice inside a nested object makes the object
+unparsed (Python keeps the last); non-string field values print as JSON text
+(``true``), not Python text (``True``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .text import DASH, plain_number, with_clean_texts, ws_strip
 
 # JSON texts of falsy field values.
 FALSY_JSON = ("false", "null", '""', "[]", "{}")
+# JSON texts of numbers that JSON has no digits for.
+ODD_NUMBERS = ('"NaN"', '"Infinity"', '"-Infinity"')
 # Field names, upper-case spelling first.
 SLA_KEYS = ("SLA_AT_RISK", "sla_at_risk")
 SEVERITY_KEYS = ("SEVERITY", "severity")
@@ -54,27 +57,35 @@ def parse_impact(impact: Column) -> Column:
     impact text, else null. Single-expression form of the staged parse in
     :func:`with_business_impact`.
     """
-    m = _object_map(_parse_raw(ws_strip(F.coalesce(impact, F.lit("")))))
+    m = _object_map(ws_strip(F.coalesce(impact, F.lit(""))))
     return F.when(F.size(m) > 0, m)
 
 
-def _parse_raw(raw: Column) -> Column:
-    """Python's ``json.loads(raw)``, else the first ``{...}`` fragment.
+def _read_once(text: Column) -> Column:
+    # One pass over the object: top-level fields as a map of variants.
+    return F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
+
+
+def _read_again(text: Column) -> Column:
+    """Objects with a key given twice (the last one counts) or ``NaN``."""
+    given = F.map_entries(F.from_json(text, "map<string,variant>", {"allowSingleQuotes": "false"}))
+    last = F.filter(given, lambda e, i: ~F.exists(
+        F.slice(given, i + 2, F.size(given)), lambda later: later["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def _object_map(raw: Column) -> Column:
+    """Fields of Python's ``json.loads(raw)``, else of the first ``{...}`` fragment.
 
     Only texts that can hold an object are parsed: the whole text when it
     starts with ``{`` and ends with ``}`` (a stripped object always does),
     the fragment when the text has a ``}`` at all. Rows that cannot parse
-    never reach the parser, so no per-row parse errors are raised.
+    never reach a parser, and only what the first refuses reaches the second.
     """
     frag = F.regexp_extract(raw, OBJECT_FRAGMENT, 0)
-    whole = F.when(raw.endswith("}"), F.try_parse_json(raw))
-    return F.when(raw.startswith("{") & (F.instr(raw, "}") > 0), F.coalesce(
-        whole, F.when(frag != F.lit(""), F.try_parse_json(frag))))
-
-
-def _object_map(v: Column) -> Column:
-    # One pass over the object: top-level fields as a map of variants.
-    return F.try_variant_get(v, "$", "map<string,variant>")
+    whole = F.when(raw.endswith("}"), F.coalesce(_read_once(raw), _read_again(raw)))
+    part = F.when(frag != F.lit(""), F.coalesce(_read_once(frag), _read_again(frag)))
+    return F.when(raw.startswith("{") & (F.instr(raw, "}") > 0), F.coalesce(whole, part))
 
 
 def _h(name: str) -> Column:
@@ -90,27 +101,29 @@ def _sql_list(values) -> str:
     return ", ".join(_q(v) for v in values)
 
 
-def _truthy(v: Column) -> Column:
+def _truthy(j: Column) -> Column:
     """Whether a field counts as given, from its JSON text: not false, null, empty or zero.
 
     Only texts starting with ``-`` or ``0`` can be zero, and only those are cast.
     """
-    j = F.to_json(v)
     zero = F.when(F.substring(j, 1, 1).isin("-", "0"), j.try_cast("double") == 0.0)
     return j.isNotNull() & ~j.isin(*FALSY_JSON) & ~F.coalesce(zero, F.lit(False))
 
 
-def _field_text(v: Column) -> Column:
+def _field_text(v: Column, j: Column) -> Column:
     """Text of a field; numbers with a fraction or exponent keep one (``1.0``)."""
-    fractional = F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)")
+    number = F.substring(j, 1, 1).isin(*"-0123456789") | j.isin(*ODD_NUMBERS)
+    fractional = number & F.schema_of_variant(v).rlike("^(DECIMAL|DOUBLE|FLOAT)")
     return F.when(fractional, plain_number(F.try_variant_get(v, "$", "double"))).otherwise(
         F.try_variant_get(v, "$", "string"))
 
 
 def _given_fields(m: Column) -> Column:
     """``map<string,string>``: the known fields that are given, as text."""
-    given = F.map_filter(m, lambda k, v: k.isin(*ALL_KEYS) & _truthy(v))
-    return F.transform_values(given, lambda k, v: _field_text(v))
+    known = F.map_filter(m, lambda k, v: k.isin(*ALL_KEYS))
+    # each field's JSON text is made once
+    told = F.transform_values(known, lambda k, v: F.struct(v.alias("v"), F.to_json(v).alias("j")))
+    return F.transform_values(F.map_filter(told, lambda k, x: _truthy(x["j"])), lambda k, x: _field_text(x["v"], x["j"]))
 
 
 def _first_sql(keys) -> str:
@@ -144,7 +157,7 @@ def with_business_impact(df: DataFrame, level: Column, impact: Column, fix: Colu
         F.when(lvl_in.isNull() | (lvl_in == F.lit("")), F.lit("medium"))
          .otherwise(ws_strip(F.lower(lvl_in))).alias(_P + "lvl0"),
         ws_strip(F.coalesce(_h("imp_in"), F.lit(""))).alias(_P + "raw"))
-    s2 = s1.select("*", _object_map(_parse_raw(_h("raw"))).alias(_P + "m0"))
+    s2 = s1.select("*", _object_map(_h("raw")).alias(_P + "m0"))
     m0 = _h("m0")
     s3 = s2.select(*keep, _h("fc"), _h("cc"), _h("lvl0"), _h("raw"),
                    F.when(F.size(m0) > 0, m0).alias(_P + "m"))

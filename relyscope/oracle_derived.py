@@ -70,15 +70,21 @@ def mttr_text(x="mttr_minutes") -> str:
 
 # ---- D4 -----------------------------------------------------------------------
 
+def _value(k: str) -> str:
+    """A field's JSON; of a key given twice the last one."""
+    at = f"len(json_keys(v)) + 1 - list_position(list_reverse(json_keys(v)), '{k}')"
+    return f"list_extract(json_extract(v, '$.*'), {at})"
+
+
 def _truthy(k: str) -> str:
-    j = f"json_extract(v, '$.{k}')"
+    j = _value(k)
     return (f"({j} IS NOT NULL AND CAST({j} AS VARCHAR) NOT IN ('false', 'null', '\"\"', '[]', '{{}}') "
             f"AND coalesce(TRY_CAST(CAST({j} AS VARCHAR) AS DOUBLE) <> 0, true))")
 
 
 def _json_text(k: str) -> str:
-    plain = f"json_extract_string(v, '$.{k}')"
-    return f"CASE WHEN json_type(v, '$.{k}') = 'DOUBLE' THEN CAST(CAST({plain} AS DOUBLE) AS VARCHAR) ELSE {plain} END"
+    plain = f"json_extract_string({_value(k)}, '$')"
+    return f"CASE WHEN json_type({_value(k)}) = 'DOUBLE' THEN CAST(CAST({plain} AS DOUBLE) AS VARCHAR) ELSE {plain} END"
 
 
 def _first(*keys: str) -> str:

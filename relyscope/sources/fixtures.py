@@ -80,8 +80,9 @@ RAW_TEXT = """CASE doc_id % 7
     WHEN 4 THEN concat('a {', text, '} z {short} ', CAST(doc_id AS STRING))
     ELSE text END"""
 # Impact texts over ``documents``: every field in both spellings, true and false
-# values, numbers with a fraction or exponent, lists, nested and broken objects.
-RAW_IMPACT = """CASE doc_id % 13
+# values, numbers with a fraction or exponent, lists, nested and broken objects, keys
+# given twice.
+RAW_IMPACT = """CASE doc_id % 15
     WHEN 0 THEN concat('{"SLA_AT_RISK": true, "SEVERITY": "HIGH", "MESSAGE": "Load ', CAST(doc_id AS STRING), ' late"}')
     WHEN 1 THEN concat('{"sla_at_risk": 1, "severity": "critical", "team": "', source, '"}')
     WHEN 2 THEN concat('{"REGION": ', CAST(n_chars AS STRING), '.50, "TEAM": 1.0, "affected_pipelines": 1e3}')
@@ -93,7 +94,9 @@ RAW_IMPACT = """CASE doc_id % 13
     WHEN 8 THEN concat('{broken ', CAST(doc_id AS STRING))
     WHEN 9 THEN '{"TEAM": [], "MESSAGE": {}, "severity": null, "REGION": ["eu"]}'
     WHEN 10 THEN concat('  {"MESSAGE": "m ', CAST(doc_id AS STRING), '", "x": {"y": 1}}  ')
-    WHEN 11 THEN concat('{"TEAM": -0.25, "REGION": ', CAST(doc_id AS STRING), '}') END"""
+    WHEN 11 THEN concat('{"TEAM": -0.25, "REGION": ', CAST(doc_id AS STRING), '}')
+    WHEN 12 THEN concat('{"TEAM": "first", "SEVERITY": "low", "TEAM": "last ', CAST(doc_id AS STRING), '", "SEVERITY": "HIGH"}')
+    WHEN 13 THEN concat('{"MESSAGE": "given", "REGION": 1, "MESSAGE": "", "REGION": ', CAST(doc_id AS STRING), '.0}') END"""
 
 # Reporting dates the fixtures are built around (FIXTURES.md).
 INCIDENTS_AS_OF = "2024-01-31"

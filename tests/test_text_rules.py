@@ -133,6 +133,11 @@ IMPACT_CASES = [
     ("large numbers in plain notation", None, '{"REGION": 12345678.0, "TEAM": -0.25}', None, None,
      ("medium", False, "", "Region: 12345678.0. Owning team: -0.25.")),
     ("lists print as JSON", None, '{"REGION": ["eu","us"]}', None, None, ("medium", False, "", 'Region: ["eu","us"].')),
+    ("of a key given twice the last one", None, '{"TEAM": "a", "SEVERITY": "low", "TEAM": "b", "SEVERITY": "high"}', None, None, ("medium", False, "HIGH", "Owning team: b.")),
+    ("given twice, the last one empty", None, '{"MESSAGE": "m", "REGION": "eu", "MESSAGE": ""}', None, None, ("medium", False, "", "Region: eu.")),
+    ("NaN is read and counts as given", None, '{"REGION": NaN, "TEAM": 2}', None, None, ("medium", False, "", "Region: nan. Owning team: 2.")),
+    ("twice inside a fragment", None, '{"TEAM": "a", "TEAM": "b"} and more', None, None, ("medium", False, "", "Owning team: b.")),
+    ("single quotes are no JSON", "low", "{'TEAM': 'a'}", None, None, ("low", False, "", LOW)),
     ("upper-case spelling first", None, '{"team": "b", "TEAM": "a"}', None, None, ("medium", False, "", "Owning team: a.")),
 ]
 
