@@ -291,11 +291,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each component, once each, and
     all rows without words."""
     rows = joined(docs).where("root is not null")
-    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("_key"))
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    kept = rows.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")).select(F.col("first.key").alias("of"))
+    # no names to clash
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text", F.xxhash64("doc_id", "text").alias("key"))
     wordless = F.size(words(F.col("text"))) == 0
-    return keyed.where(~wordless).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).unionByName(
-        keyed.where(wordless)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = keyed.where(~wordless).join(kept, F.col("key") == F.col("of"), "left_semi").dropDuplicates(["key"])
+    return once.union(keyed.where(wordless)).select(*["text" if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 OP10_SQL = """

@@ -130,5 +130,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The verdicts are written before the filter: pushed down, it would repeat the
     counts' expressions inside each other.
     """
-    verdicts = scored(docs, labels).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("kept").alias("_kept"))
-    return stored(verdicts, "verdicts").where("_kept").drop("_kept")
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")  # no names to clash
+    verdicts = scored(docs.select("doc_id", "text", rest), labels).select("row", "text", "kept")
+    return stored(verdicts, "verdicts").where("kept").select(
+        *["text" if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
