@@ -10,7 +10,9 @@ mean distances.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 equal counts rank by n-gram code, equal distances by language name; without any
-training text every document is ``und``; repeated rows count each.
+training text every document is ``und``; repeated rows count each; texts of any
+length are looked at whole; an empty table gives an empty result. Other columns pass
+through ``identify``; names must differ from lang_pred and score.
 """
 
 from __future__ import annotations
