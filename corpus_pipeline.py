@@ -2,8 +2,13 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as
 Parquet in the shared checkpoint folder and read back as the next stage's
-``docs``. All but the last return the columns of ``docs``; the last returns a
-row a packed piece.
+``docs``. All but the last return the columns of ``docs``, whatever their names; the
+last returns a row a packed piece.
+
+Defined results: a null or empty text fails the quality rules (no words) and goes
+there; without trusted labels only the base rules decide; repeated rows fall to line
+dedup or the Jaccard stage, the smallest doc_id stays (ties: line number, row hash);
+texts of any length are handled whole; empty tables give an empty result.
 """
 
 from __future__ import annotations
