@@ -72,3 +72,31 @@ def test_empty_documents(spark):
     d = docs(spark, [])
     assert toxicity.learn(d, labels) is None
     assert toxicity.score_documents(d.select("doc_id", toxicity.hashed_ids(F.col("text")).alias("ids")), None).collect() == []
+
+
+def test_every_labelled_document_counts(spark, monkeypatch):
+    """Words of documents outside the sample that training starts with are learned, and
+    thresholds and languages come from all documents."""
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 20)
+    monkeypatch.setattr(toxicity, "ROUNDS", 8)
+    monkeypatch.setattr(toxicity, "LATER_RATE", 0.02)
+    rng = random.Random(8)
+    clean, bad = vocabulary(6), ["vexxu" + w for w in vocabulary(7, 40)]
+    rows, labels = [], []
+    for i in range(1200):
+        text = prose(rng, 12, clean).split(" ")
+        if i % 3 == 0:
+            text[rng.randrange(12)] = bad[i // 3 % 40][::-1]  # no common beginning: each word has to be seen
+        rows.append((i, " ".join(text), "l%d" % (i % 50), "s"))
+        labels.append((i, 1, int(i % 3 == 0)))
+    model = toxicity.learn(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(model.languages.names) == 50
+    got = toxicity.score_documents(docs(spark, rows).select("doc_id", toxicity.hashed_ids(F.col("text")).alias("ids")), model).collect()
+    held = [r.predicted == (r.doc_id % 3 == 0) for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean(held) > 0.85
+
+
+def test_threshold_of_counts_has_the_best_f1():
+    counts = np.array([[0, 512, 3, 3], [1, 256, 2, 1], [0, 0, 10, 1], [0, -256, 50, 0]])
+    assert toxicity.threshold(counts[:1]) == 1.5 and toxicity.threshold(counts) == 257 / 512
