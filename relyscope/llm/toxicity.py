@@ -369,7 +369,7 @@ class Model:
 
 def id_rows(column: pa.Array) -> list[np.ndarray]:
     offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False).reshape(-1, IDS).astype(np.int64)
+    flat = column.values.to_numpy(zero_copy_only=False).reshape(-1, IDS)
     return [flat[a // IDS:b // IDS] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
@@ -378,7 +378,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     known = labels.where((F.col("toxic").isin(0, 1)) & F.col("doc_id").isNotNull()
                          & (fold(F.col("doc_id")) != HELD_OUT_FOLD)).select("doc_id", "toxic").distinct()
     # one text a label, however often its doc_id repeats
-    texts = docs.select("doc_id", "text", "lang").join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("of"))
+    texts = stored(docs.select("doc_id", "text", "lang").join(known.hint("merge"), "doc_id").groupBy("doc_id", "toxic").agg(
+        F.min(F.struct("text", "lang")).alias("of")), "known")
     groups = -(-known.count() // GROUP) or 1
     by_hash = lambda name: F.xxhash64("doc_id", "toxic", F.lit(name))
     hashed = texts.select("doc_id", "toxic", "of.lang", hashed_ids(F.col("of.text")).alias("ids"), by_hash("turn").alias("turn"),
