@@ -31,11 +31,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, by_value, read, stored, words
+from .common import by_value, read, stored, words
 from .components import components
+from .wordseq import pieces, word_hashes
 
 by_value(__name__)
 
@@ -51,13 +53,8 @@ SALTS = 64  # parts of a frequent token's rows
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
-def word_hashes(text: Column) -> Column:
-    return F.transform(words(ascii_lower(text)), lambda w: F.xxhash64(w))
-
-
 def token_set(h: np.ndarray) -> np.ndarray:
     """Sorted distinct tokens (uint64) of a document's word hashes."""
-    h = h.view(np.uint64)
     if not len(h):
         return h
     k = min(SHINGLE, len(h))
@@ -69,6 +66,15 @@ def token_set(h: np.ndarray) -> np.ndarray:
     return np.unique(t ^ (t >> np.uint64(32)))
 
 
+def token_sets(texts: pa.Array) -> list[np.ndarray]:
+    """``token_set`` of each text, A-Z lower-cased."""
+    sets = []
+    for part in pieces([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
+        h, first = word_hashes(pc.ascii_lower(part.column("text")))
+        sets += [token_set(h[a:b]) for a, b in zip(first[:-1], first[1:])]
+    return sets
+
+
 def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -77,12 +83,6 @@ def bucket_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens * np.uint64(MIX[2]) >> np.uint64(64 - 22)).astype(np.int64)
 
 
-def lists(column: pa.Array) -> list[np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)
-    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-
-
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     """100 * |intersection| >= 75 * |union|, for sorted distinct tokens."""
     x, y = (x, y) if len(x) <= len(y) else (y, x)
@@ -98,10 +98,9 @@ def described(batches):
     counts, seen = np.zeros(CHUNK * CHUNKS, np.uint16), set()
     mins = [f"m{r}" for r in range(ROUNDS)]
     names = ["doc_id", "key", "n", "node", *mins, "chunk", "counts"]
-    for b in batches:
+    for b in pieces(batches, "text"):
         out = {c: [] for c in ["n", "node", *mins]}
-        for h in lists(b.column("h")):
-            t = token_set(h)
+        for t in token_sets(b.column("text")):
             node = node_of(t) if len(t) else None
             out["n"].append(len(t))
             out["node"].append(node)
@@ -147,10 +146,9 @@ def frequent_buckets(info: DataFrame) -> np.ndarray:
 def prefix_rows(batches, frequent: bytes):
     """(token, salt, node, n) of each distinct set's prefix, once a task."""
     flags, seen = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool), set()
-    for b in batches:
+    for b in pieces(batches, "text"):
         tokens, salts, nodes, sizes = [], [], [], []
-        for h in lists(b.column("h")):
-            t = token_set(h)
+        for t in token_sets(b.column("text")):
             if not len(t) or (node := node_of(t)) in seen:
                 continue
             seen.add(node)
@@ -190,7 +188,7 @@ def shared_rows(batches):
 def forest(block: pa.Table) -> pa.Table:
     """Verified links that span a block's connected nodes."""
     nodes = block.column("node").to_numpy()
-    sets = [token_set(h) for h in lists(block.column("h").combine_chunks())]
+    sets = token_sets(block.column("text").combine_chunks())
     root = np.arange(len(nodes))
     a, b = [], []
     for i in range(len(nodes)):
@@ -210,7 +208,7 @@ def bridges(batches):
         columns = [batch.column(c) for c in ("x", "y")]
         nodes = [batch.column(c).to_pylist() for c in ("xs", "ys")]
         for row in range(batch.num_rows):
-            x, y = ([token_set(h) for h in lists(c.slice(row, 1).flatten())] for c in columns)
+            x, y = (token_sets(c.slice(row, 1).flatten()) for c in columns)
             found = next(((i, j) for i in range(len(x)) for j in range(len(y)) if linked(x[i], y[j])), None)
             if found:
                 a.append(nodes[0][row][found[0]])
@@ -225,7 +223,7 @@ def block_links(info: DataFrame, texts: DataFrame) -> DataFrame:
     meet = each.groupBy("round", "m").agg(F.count("*").alias("c")).where("c > 1")
     salt = F.pmod(F.xxhash64("node", "round"), F.ceil(F.col("c") / BLOCK))
     dealt = each.join(meet, ["round", "m"]).select("node", F.xxhash64("round", "m", salt).alias("block"))
-    rows = dealt.join(texts, "node").repartition("block").select("block", "node", word_hashes(F.col("text")).alias("h"))
+    rows = dealt.join(texts, "node").select("block", "node", "text")
     return stored(rows.groupBy("block").applyInArrow(forest, "a long, b long"), "links")
 
 
@@ -254,22 +252,21 @@ def group_links(shared: DataFrame, groups: DataFrame, texts: DataFrame) -> DataF
         F.collect_list(F.struct("node", "text")).alias("nodes")), "blocks")
     mine = blocks.select("g", F.col("nodes").alias("left"))
     other = blocks.select(F.col("g").alias("o"), F.col("nodes").alias("right"))
-    sets = lambda c: F.transform(c, lambda m: word_hashes(m["text"]))
     pairs = opened.join(mine, "g").join(other, "o").select(
-        F.col("left.node").alias("xs"), F.col("right.node").alias("ys"), sets("left").alias("x"), sets("right").alias("y"))
+        F.col("left.node").alias("xs"), F.col("right.node").alias("ys"), F.col("left.text").alias("x"), F.col("right.text").alias("y"))
     return stored(pairs.mapInArrow(bridges, "a long, b long"), "links")
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """``doc_id, key, n, node, root`` of every row of ``docs`` (doc_id, text); rows of one
     root are connected by links, a null root has no words."""
-    hashed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), word_hashes(F.col("text")).alias("h"))
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     fields = ", ".join(f"m{r} long" for r in range(ROUNDS))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    info = stored(hashed.mapInArrow(described, f"doc_id {kind}, key long, n long, node long, {fields}, chunk int, counts binary"), "sets")
+    info = stored(keyed.mapInArrow(described, f"doc_id {kind}, key long, n long, node long, {fields}, chunk int, counts binary"), "sets")
     frequent = np.packbits(frequent_buckets(info)).tobytes()
     info = info.where("chunk is null")
-    rows = hashed.select("h").mapInArrow(lambda it: prefix_rows(it, frequent), "token long, salt int, node long, n long")
+    rows = docs.select("text").mapInArrow(lambda it: prefix_rows(it, frequent), "token long, salt int, node long, n long")
     shared = stored(rows.repartition("token", "salt").mapInArrow(shared_rows, "token long, node long, n long"), "prefixes")
     # the text of each node that shares a token, from one of its documents
     chosen = info.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("key").alias("key"))
