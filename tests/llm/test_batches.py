@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from relyscope.llm import common, jaccard, toxicity
+from relyscope.llm import common, jaccard, linededup, toxicity
 
 from .test_jaccard import shingles
 
@@ -32,3 +32,12 @@ def test_token_sets():
     assert [len(t) for t in sets] == [len(shingles(t)) for t in texts]
     assert sets[0].tolist() == sets[2].tolist() and not set(sets[0].tolist()) & set(sets[4].tolist())
     assert set(sets[8].tolist()) <= set(sets[7].tolist())
+
+
+def test_counts_of_lines_are_small_and_the_same():
+    """Lines are counted some MB at a time; how many at once changes no count."""
+    assert linededup.BLOCK * linededup.CLASSES * 8 <= 16 << 20
+    codes = linededup.plain(["ab cd ef gh %d" % i + " x" * (i % 7) for i in range(2_500)], linededup.character_table(linededup.small_letters()))
+    starts, ends = linededup.bounds(codes)
+    parts = [linededup.counted(stretch, lines, 4)[own] for _, stretch, lines, own in linededup.blocks(codes, starts, ends)]
+    assert len(parts) > 1 and (np.concatenate(parts) == linededup.counted(codes, len(starts), 4)).all()
