@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import by_value, read, stored, words
 from .components import components
+from .packed import numbers, pack_rows, packed_schema
 from .wordseq import pieces, word_hashes
 
 by_value(__name__)
@@ -50,6 +51,8 @@ DEVIATIONS, LEAST_EXCESS = 8.0, 64
 #: Min-hash rounds of the grouping and nodes a block.
 ROUNDS, BLOCK = 4, 128
 SALTS = 64  # parts of a frequent token's rows
+PREFIX = {"token": np.int64, "salt": np.int32, "node": np.int64, "n": np.int64}
+DEALS, MANY = 4_096, 1 << 18  # parts that prefix rows are dealt to; rows that are packed at once
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 
 
@@ -66,12 +69,38 @@ def token_set(h: np.ndarray) -> np.ndarray:
     return np.unique(t ^ (t >> np.uint64(32)))
 
 
+def token_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ``token_set`` of each text, A-Z lower-cased, one behind the other, and where each starts and ends."""
+    h, first = word_hashes(pc.ascii_lower(texts))
+    words = np.diff(first)
+    k = np.minimum(SHINGLE, words)
+    n = np.where(words > 0, words - k + 1, 0)
+    ends = np.cumsum(n)
+    at = np.arange(n.sum()) + np.repeat(first[:-1] - (ends - n), n)
+    size = np.repeat(k, n)
+    short = bool((k[n > 0] < SHINGLE).any())
+    h = np.append(h, np.zeros(SHINGLE, np.uint64))
+    t = size.astype(np.uint64)
+    for j in range(SHINGLE):
+        longer = (t ^ (t >> np.uint64(31))) * np.uint64(MIX[j]) + h[at + j]
+        t = np.where(size > j, longer, t) if short else longer
+    t = (t ^ (t >> np.uint64(33))) * np.uint64(MIX[4])
+    t = (t ^ (t >> np.uint64(29))) * np.uint64(MIX[1])
+    t ^= t >> np.uint64(32)
+    for a, b in zip((ends - n).tolist(), ends.tolist()):
+        t[a:b].sort()
+    new = np.ones(len(t), bool)
+    new[1:] = t[1:] != t[:-1]
+    new[(ends - n)[n > 0]] = True
+    return t[new], np.append(0, np.cumsum(new))[np.append(0, ends)]
+
+
 def token_sets(texts: pa.Array) -> list[np.ndarray]:
     """``token_set`` of each text, A-Z lower-cased."""
     sets = []
     for part in pieces([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
-        h, first = word_hashes(pc.ascii_lower(part.column("text")))
-        sets += [token_set(h[a:b]) for a, b in zip(first[:-1], first[1:])]
+        t, first = token_lists(part.column("text"))
+        sets += [t[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
     return sets
 
 
@@ -79,6 +108,21 @@ def node_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def nodes_of(t: np.ndarray, first: np.ndarray) -> list[int | None]:
+    """``node_of`` each set of ``token_lists``; empty ones have none."""
+    return [node_of(t[a:b]) if b > a else None for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def unseen(nodes: list[int | None], seen: set[int]) -> np.ndarray:
+    """Whether each node is met for the first time; ``seen`` takes it in."""
+    new = np.zeros(len(nodes), bool)
+    for i, node in enumerate(nodes):
+        if node is not None and node not in seen:
+            seen.add(node)
+            new[i] = True
+    return new
+
+
 def bucket_of(tokens: np.ndarray) -> np.ndarray:
     return (tokens * np.uint64(MIX[2]) >> np.uint64(64 - 22)).astype(np.int64)
 
@@ -96,25 +140,22 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 def described(batches):
     """Per document: key, n, node and min-hashes; per task: its token counts."""
     counts, seen = np.zeros(CHUNK * CHUNKS, np.uint16), set()
-    mins = [f"m{r}" for r in range(ROUNDS)]
-    names = ["doc_id", "key", "n", "node", *mins, "chunk", "counts"]
+    names = ["doc_id", "key", "n", "node", *[f"m{r}" for r in range(ROUNDS)], "chunk", "counts"]
     for b in pieces(batches, "text"):
-        out = {c: [] for c in ["n", "node", *mins]}
-        for t in token_sets(b.column("text")):
-            node = node_of(t) if len(t) else None
-            out["n"].append(len(t))
-            out["node"].append(node)
-            for r, m in enumerate(mins):
-                mixed = (t ^ np.uint64(MIX[r])) * np.uint64(MIX[(r + 1) % 5])
-                out[m].append(int((mixed ^ (mixed >> np.uint64(32))).min().view(np.int64)) if len(t) else None)
-            if len(t) and node not in seen:
-                seen.add(node)
-                at, n = np.unique(bucket_of(t), return_counts=True)
-                counts[at] = np.minimum(counts[at] + n.astype(np.int64), 65_535)
+        t, first = token_lists(b.column("text"))
+        n = np.diff(first)
+        none = n == 0
+        nodes = nodes_of(t, first)
+        mins = np.zeros((ROUNDS, len(n)), np.int64)
+        for r in range(ROUNDS if len(t) else 0):
+            h = (t ^ np.uint64(MIX[r])) * np.uint64(MIX[(r + 1) % 5])
+            mins[r, ~none] = np.minimum.reduceat(h ^ (h >> np.uint64(32)), first[:-1][~none]).view(np.int64)
+        at, c = np.unique(bucket_of(t[np.repeat(unseen(nodes, seen), n)]), return_counts=True)
+        counts[at] = np.minimum(counts[at] + c.astype(np.int64), 65_535)
         k = b.num_rows
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("key"), *[pa.array(out[c], pa.int64()) for c in out],
-             pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            [b.column("doc_id"), b.column("key"), pa.array(n.astype(np.int64)), pa.array(nodes, pa.int64()),
+             *[pa.array(m, mask=none) for m in mins], pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     used = [c for c in range(CHUNKS) if counts[c * CHUNK:(c + 1) * CHUNK].any()]
     packed = [zlib.compress(counts[c * CHUNK:(c + 1) * CHUNK].astype(np.uint32).tobytes(), 1) for c in used]
     yield pa.RecordBatch.from_arrays(
@@ -144,26 +185,38 @@ def frequent_buckets(info: DataFrame) -> np.ndarray:
 
 
 def prefix_rows(batches, frequent: bytes):
-    """(token, salt, node, n) of each distinct set's prefix, once a task."""
+    """(token, salt, node, n) of each distinct set's prefix, once a task, packed."""
     flags, seen = np.unpackbits(np.frombuffer(frequent, np.uint8)).astype(bool), set()
+    held, many = [], 0
+
+    def let_go():
+        rows = {c: np.concatenate([x[c] for x in held]) for c in PREFIX}
+        return pack_rows(rows, PREFIX, rows["token"].view(np.uint64) + rows["salt"].astype(np.uint64) * np.uint64(MIX[3]), DEALS)
+
     for b in pieces(batches, "text"):
-        tokens, salts, nodes, sizes = [], [], [], []
-        for t in token_sets(b.column("text")):
-            if not len(t) or (node := node_of(t)) in seen:
-                continue
-            seen.add(node)
-            n = len(t)
-            p = n - -(-3 * n // 4) + 1
-            often = flags[bucket_of(t)]
-            few, many = t[~often], t[often]
-            taken = np.concatenate([few[:p], many[:max(0, p - len(few))]])
-            tokens.append(taken.view(np.int64))
-            salts.append(np.where(np.arange(p) < len(few), 0, 1 + node % SALTS).astype(np.int32))
-            nodes.append(np.full(p, node))
-            sizes.append(np.full(p, n))
-        if tokens:
-            yield pa.RecordBatch.from_pydict({k: np.concatenate(v) for k, v in zip(
-                ("token", "salt", "node", "n"), (tokens, salts, nodes, sizes))})
+        t, first = token_lists(b.column("text"))
+        nodes = nodes_of(t, first)
+        own = unseen(nodes, seen)
+        n = np.diff(first)
+        t, n = t[np.repeat(own, n)], n[own]
+        if not len(t):
+            continue
+        node = np.array([x for x, y in zip(nodes, own) if y], np.int64)
+        of, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        often = flags[bucket_of(t)]
+        before = np.cumsum(often) - often  # frequent tokens ahead, of all sets
+        before -= before[start][of]
+        few = n - np.bincount(of, often, len(n)).astype(np.int64)
+        place = np.where(often, few[of] + before, np.arange(len(t)) - start[of] - before)
+        taken = np.flatnonzero(place < (n + -3 * n // 4 + 1)[of])
+        salt = np.where(often, 1 + node[of] % SALTS, 0)
+        held.append({"token": t[taken].view(np.int64), "salt": salt[taken], "node": node[of[taken]], "n": n[of[taken]]})
+        many += len(taken)
+        if many >= MANY:
+            yield let_go()
+            held, many = [], 0
+    if held:
+        yield let_go()
 
 
 def shared_rows(batches):
@@ -172,8 +225,11 @@ def shared_rows(batches):
     got = [b for b in batches if b.num_rows]
     if not got:
         return
-    token, salt, node, n = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("token", "salt", "node", "n"))
-    order = np.lexsort((node, token))
+    token, salt, node, n = (np.concatenate([numbers(b.column(c), k) for b in got]) for c, k in PREFIX.items())
+    order = np.argsort(token)
+    same = token[order[1:]] == token[order[:-1]]
+    order = order[(salt[order] > 0) | np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # most tokens are of one row
+    order = order[np.lexsort((node[order], token[order]))]
     token, salt, node, n = token[order], salt[order], node[order], n[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
@@ -185,19 +241,45 @@ def shared_rows(batches):
         yield pa.RecordBatch.from_pydict({"token": token[s][several[s]], "node": node[s][several[s]], "n": n[s][several[s]]})
 
 
-def forest(block: pa.Table) -> pa.Table:
+def sets_of(nodes: np.ndarray, texts: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """The token set of each node, once."""
+    every, one = np.unique(nodes, return_index=True)
+    return dict(zip(every.tolist(), token_sets(pa.chunked_array(texts.take(pa.array(one)).chunks, pa.string()).combine_chunks())))
+
+
+def forest(nodes: list[int], sets: dict[int, np.ndarray]):
     """Verified links that span a block's connected nodes."""
-    nodes = block.column("node").to_numpy()
-    sets = token_sets(block.column("text").combine_chunks())
     root = np.arange(len(nodes))
-    a, b = [], []
     for i in range(len(nodes)):
         for j in range(i):
-            if root[i] != root[j] and linked(sets[i], sets[j]):
+            if root[i] != root[j] and linked(sets[nodes[i]], sets[nodes[j]]):
                 root[root == root[i]] = root[j]
-                a.append(nodes[i])
-                b.append(nodes[j])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                yield nodes[i], nodes[j]
+
+
+def forests(batches):
+    """``forest`` of each block of a partition, whose rows lie together."""
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        block, nodes = rows.column("block").to_numpy(), rows.column("node").to_numpy()
+        sets = sets_of(nodes, rows.column("text"))
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        links = [link for a, b in zip(first, np.append(first[1:], len(block))) for link in forest(nodes[a:b].tolist(), sets)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []  # rows of a block that may go on
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block = b.column("block").to_numpy()
+        cut = int(np.flatnonzero(block == block[-1])[0])
+        if held and (cut or held[0].column("block")[0].as_py() != block[0]):
+            yield found(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            held = []
+        elif cut:
+            yield found(pa.Table.from_batches([b.slice(0, cut)]))
+        held.append(b.slice(cut))
+    if held:
+        yield found(pa.Table.from_batches(held))
 
 
 def bridges(batches):
@@ -205,14 +287,14 @@ def bridges(batches):
     a group's members are connected, so one link joins the groups."""
     for batch in batches:
         a, b = [], []
-        columns = [batch.column(c) for c in ("x", "y")]
-        nodes = [batch.column(c).to_pylist() for c in ("xs", "ys")]
-        for row in range(batch.num_rows):
-            x, y = (token_sets(c.slice(row, 1).flatten()) for c in columns)
-            found = next(((i, j) for i in range(len(x)) for j in range(len(y)) if linked(x[i], y[j])), None)
+        columns = [batch.column(c) for c in ("xs", "ys")]
+        sets = sets_of(np.concatenate([c.flatten().to_numpy() for c in columns]),
+                       pa.chunked_array([batch.column(c).flatten() for c in ("x", "y")], pa.string()))
+        for xs, ys in zip(*(c.to_pylist() for c in columns)):
+            found = next(((i, j) for i in xs for j in ys if linked(sets[i], sets[j])), None)
             if found:
-                a.append(nodes[0][row][found[0]])
-                b.append(nodes[1][row][found[1]])
+                a.append(found[0])
+                b.append(found[1])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -224,7 +306,7 @@ def block_links(info: DataFrame, texts: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("node", "round"), F.ceil(F.col("c") / BLOCK))
     dealt = each.join(meet, ["round", "m"]).select("node", F.xxhash64("round", "m", salt).alias("block"))
     rows = dealt.join(texts, "node").select("block", "node", "text")
-    return stored(rows.groupBy("block").applyInArrow(forest, "a long, b long"), "links")
+    return stored(rows.repartition("block").sortWithinPartitions("block").mapInArrow(forests, "a long, b long"), "links")
 
 
 def group_links(shared: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
@@ -266,8 +348,8 @@ def joined(docs: DataFrame) -> DataFrame:
     info = stored(keyed.mapInArrow(described, f"doc_id {kind}, key long, n long, node long, {fields}, chunk int, counts binary"), "sets")
     frequent = np.packbits(frequent_buckets(info)).tobytes()
     info = info.where("chunk is null")
-    rows = docs.select("text").mapInArrow(lambda it: prefix_rows(it, frequent), "token long, salt int, node long, n long")
-    shared = stored(rows.repartition("token", "salt").mapInArrow(shared_rows, "token long, node long, n long"), "prefixes")
+    rows = docs.select("text").mapInArrow(lambda it: prefix_rows(it, frequent), packed_schema(PREFIX))
+    shared = stored(rows.repartition("deal").mapInArrow(shared_rows, "token long, node long, n long"), "prefixes")
     # the text of each node that shares a token, from one of its documents
     chosen = info.join(shared.select("node").distinct(), "node").groupBy("node").agg(F.min("key").alias("key"))
     texts = stored(docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(chosen.hint("merge"), "key").dropDuplicates(["node"]).select("node", "text"), "texts")
